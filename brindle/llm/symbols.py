@@ -1,0 +1,47 @@
+"""Texts as sequences over a small fixed alphabet, and dense tables of their n-grams.
+
+The alphabet bounds every model built on it: a table of order n has SIZE ** n
+cells whatever the corpus holds, so it may be broadcast.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+SIZE = 40
+EDGE = 0
+#: Symbols with a class of their own besides letters (1-26) and digits (27): fixed values.
+SIGNS = "/.-_?=&%:# \n"
+
+
+def _table() -> np.ndarray:
+    """Class of each byte: letters by name, digits together, signs, other ASCII, bytes of longer characters."""
+    out = np.full(256, 28 + len(SIGNS) - 1, dtype=np.int64)
+    for i in range(26):
+        out[ord("a") + i] = out[ord("A") + i] = 1 + i
+    out[ord("0") : ord("9") + 1] = 27
+    for i, c in enumerate(SIGNS[:10]):
+        out[ord(c)] = 28 + i
+    out[[ord(c) for c in " \t\n\r\x0b\x0c"]] = 38
+    out[128:] = 39
+    for c in range(33, 127):
+        if not chr(c).isalnum() and chr(c) not in SIGNS:
+            out[c] = 37
+    return out
+
+
+CLASS = _table()
+
+
+def encode(text, order: int) -> np.ndarray:
+    """Symbols of a byte text with ``order - 1`` edges before it and one after."""
+    body = CLASS[np.frombuffer(text, dtype=np.uint8)] if len(text) else np.zeros(0, dtype=np.int64)
+    return np.concatenate([np.zeros(order - 1, dtype=np.int64), body, np.zeros(1, dtype=np.int64)])
+
+
+def grams(symbols: np.ndarray, order: int) -> np.ndarray:
+    """The number of each n-gram in a dense table."""
+    code = symbols[: len(symbols) - order + 1].copy()
+    for k in range(1, order):
+        code = code * SIZE + symbols[k : len(symbols) - order + 1 + k]
+    return code
