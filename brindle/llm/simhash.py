@@ -228,7 +228,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, limit: int = 3, extra: list[str] | None = None) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (least doc_id reachable) of every row.
+    """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable) and ``component``
+    (one fingerprint of the component, the same for all its rows) of every row.
 
     Null text and texts without words have fingerprint zero and are linked like
     any other; repeated rows each keep a row; a null doc_id is never the least
@@ -242,10 +243,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, limit: int = 3, extra: list
     linked = distinct.join(roots, F.col("fingerprint") == F.col("node"), "left")
     linked = linked.withColumn("_root", F.coalesce("root", "fingerprint")).select("fingerprint", "_least", "_root")
     least = linked.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    by_print = linked.join(least, "_root").select(F.col("fingerprint").alias("_fp"), "component_id")
-    # A fingerprint may stand for a third of all rows: the join deals its rows out by doc_id as well.
+    by_print = linked.join(least, "_root").select(F.col("fingerprint").alias("_fp"), "component_id", "_root")
+    # A fingerprint may stand for a third of all rows; the other side has one row for it, so the join can be split.
     joined = prints.join(by_print, F.col("fingerprint") == F.col("_fp"), "left")
-    return joined.select(*keep, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    digits = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    return joined.select(*keep, digits("fingerprint").alias("fingerprint"), "component_id", digits("_root").alias("component"))
 
 
 def keep_one(docs: DataFrame, width: int = 3, limit: int = 3) -> DataFrame:
@@ -257,5 +259,5 @@ def keep_one(docs: DataFrame, width: int = 3, limit: int = 3) -> DataFrame:
     row = "_simhash_row"
     numbered = scratch(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-docs")
     grouped = near_duplicates(numbered, width, limit, [row])
-    best = grouped.groupBy("component_id").agg(F.min_by(row, F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias(row))
+    best = grouped.groupBy("component").agg(F.min_by(row, F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias(row))
     return numbered.join(best.select(row), row, "left_semi").select(*docs.columns)

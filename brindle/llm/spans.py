@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import scratch, text_bytes, views
+from brindle.llm.common import ddl_name, scratch, text_bytes, views
 
 #: A sentence ends after . ! ? (and what closes it) before white space, or at a line's end.
 SENTENCE = re.compile(rb"[^\n]*?(?:[.!?]+[\"')\]]*(?=\s)|\n|$)\s*", re.S)
@@ -60,8 +60,11 @@ def remove_repeated_spans(docs: DataFrame, span: int = 3) -> DataFrame:
     like the counts are replaced.
     """
     docs = docs.drop("n_sentences", "n_removed")
-    numbered = scratch(docs.withColumn("_row", F.monotonically_increasing_id()), "span-docs")
-    spans = scratch(find_spans(numbered.select("_row", text_bytes().alias("_bytes")), span), "spans")
+    # The document travels as one struct, so none of its names can clash.
+    whole = F.struct(*[F.col(ddl_name(c)) for c in docs.columns]).alias("_doc")
+    numbered = docs.select(whole, "doc_id", "text", F.monotonically_increasing_id().alias("_row"))
+    numbered = scratch(numbered.select("_doc", "doc_id", "_row", text_bytes().alias("_bytes")), "span-docs")
+    spans = scratch(find_spans(numbered, span), "spans")
     ids = numbered.select(F.col("_row").alias("row"), "doc_id")
     several = spans.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     repeated = scratch(spans.join(several, ["h1", "h2"], "left_semi").join(ids, "row"), "repeated-spans")
@@ -77,16 +80,16 @@ def remove_repeated_spans(docs: DataFrame, span: int = 3) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts, gone = [], [], []
-            for text, places in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True):
+            cols = batch.column(0).flatten()
+            for text, places in zip(cols[at].to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = (text or "").encode()
                 runs = sentences(raw)
                 drop = {p + i for p in places or [] for i in range(span)}
                 texts.append(text if not drop else b"".join(raw[a:b] for i, (a, b) in enumerate(runs) if i not in drop).decode())
                 counts.append(len(runs))
                 gone.append(len(drop))
-            cols = list(batch.columns[: len(columns)])
             cols[at] = pa.array(texts, type=cols[at].type)
             yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], names=schema.names)
 
     joined = numbered.join(marks, F.col("_row") == F.col("row"), "left")
-    return joined.select(*[numbered[c] for c in columns], "places").mapInArrow(cut, schema)
+    return joined.select("_doc", "places").mapInArrow(cut, schema)

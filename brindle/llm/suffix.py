@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import scratch, text_bytes, views
+from brindle.llm.common import ddl_name, scratch, text_bytes, views
 
 GRAM = 32
 BLOCK = 64
@@ -368,20 +368,20 @@ def remove_repeats(docs: DataFrame, length: int = 400, group_limit: int = 1000)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = batch.num_columns - 2
             removed, kept, size = [], [], []
-            for v, runs in zip(views(batch.column(k)), batch.column(k + 1).to_pylist(), strict=True):
+            for v, runs in zip(views(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 spans = spans_of([(r["a"], r["b"]) for r in runs or []], length)
                 removed.append(spans)
                 kept.append(without(v, spans))
                 size.append(len(v))
             more = [pa.array(removed, pa.list_(pa.list_(pa.int32()))), pa.array(kept, pa.binary()), pa.array(size, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:k], *more], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.column(0).flatten(), *more], names=schema.names)
 
     runs = find_repeats(docs, length, group_limit)
-    source = _keyed(docs, *[F.col("`" + c.replace("`", "``") + "`") for c in rest])
+    # The other columns travel as one struct, so none of their names can clash.
+    source = _keyed(docs, F.struct(*[F.col(ddl_name(c)) for c in rest]).alias("_doc"))
     joined = source.join(runs, (source.t1 == runs.k1) & (source.t2 == runs.k2), "left")
-    return joined.select(*[source[c] for c in source.columns[: len(rest)]], "_bytes", "runs").mapInArrow(work, schema)
+    return joined.select("_doc", "_bytes", "runs").mapInArrow(work, schema)
 
 
 def spans_of(runs: list[tuple[int, int]], length: int) -> list[list[int]]:
