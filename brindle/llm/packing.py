@@ -32,7 +32,7 @@ LETTER, NUMBER, SPACE, OTHER, END = range(5)
 STOP = 0x110000
 #: Endings that split from a word after an apostrophe: fixed values of the tokenizer.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 19
 
 
 @functools.cache
@@ -93,14 +93,14 @@ def piece_starts(chars: np.ndarray) -> np.ndarray:
 class Encoder:
     """Token ids of many texts at once, with a store of pieces already seen.
 
-    Pieces are told apart by a 64-bit polynomial hash over mixed code points and
-    by their length; unseen ones are encoded by the tokenizer's own ranks. The
+    Pieces are told apart by a 64-bit polynomial hash over mixed code points
+    that their length enters as well; unseen ones are encoded by the tokenizer's own ranks. The
     store is emptied when it exceeds ``limit`` pieces.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 300_000):
         self.limit = limit
-        self.known: dict[tuple[int, int], int] = {}
+        self.known: dict[int, int] = {}
         self.encode = _piece_encoder(path)
         odd = pow(0x9E3779B97F4A7C15, 1, 1 << 64)
         self.base, self.inverse = odd, pow(odd, -1, 1 << 64)
@@ -138,6 +138,7 @@ class Encoder:
         sums = np.zeros(len(chars) + 1, dtype=np.uint64)
         np.cumsum(mixed * self.powers[: len(chars)], out=sums[1:])
         code = (sums[ends] - sums[starts]) * self.unpowers[starts]
+        code += (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         code, first, which = np.unique(code, return_index=True, return_inverse=True)
         if len(self.known) + len(code) > self.limit:
             self._clear()
@@ -145,8 +146,7 @@ class Encoder:
         fresh: list[np.ndarray] = []
         known, sizes, total, count = self.known, [], len(self.ids), len(self.size)
         lo, hi = starts[first].tolist(), ends[first].tolist()
-        for j, c in enumerate(code.tolist()):
-            key = (c, hi[j] - lo[j])
+        for j, key in enumerate(code.tolist()):
             at = known.get(key)
             if at is None:
                 piece = chars[lo[j] : hi[j]]
