@@ -65,6 +65,13 @@ def views(array: pa.Array) -> Iterator[memoryview]:
         yield body[ends[i] : ends[i + 1]]
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that what a worker makes of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def lower_ascii(column):
     """Lower-case A-Z and leave every other letter alone."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import ddl_name, scratch, text_bytes, views
+from brindle.llm.common import ddl_name, scratch, sliced, text_bytes, views
 
 #: Bytes that belong to words: digits, small letters, all of UTF-8 beyond ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -118,7 +118,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 8, blo
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             table = shared.value
-            for batch in batches:
+            for batch in sliced(batches):
                 n, spans, items = [], [], []
                 for v in views(batch.column(batch.num_columns - 1)):
                     words = words_of(bytes(v))

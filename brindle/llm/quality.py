@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import SPACES, scratch
+from brindle.llm.common import SPACES, ddl_name, scratch
 
 #: Characters that count as symbols: fixed values.
 SYMBOLS = "#*$%&|<>"
@@ -124,7 +124,10 @@ def judge(docs: DataFrame, min_group: int = 100) -> DataFrame:
     """
     own = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
     rest = docs.drop(*own, "kept", "base_failed")
-    ratios = scratch(with_ratios(with_counts(rest)).drop("text"), "quality")
+    return _verdicts(scratch(with_ratios(with_counts(rest)).drop("text"), "quality"), min_group)
+
+
+def _verdicts(ratios: DataFrame, min_group: int) -> DataFrame:
     fine = fences_of(ratios, ["lang", "source"]).select(
         F.col("lang").alias("_l"), F.col("source").alias("_s"), F.col("_n").alias("_fine_n"), F.col("_q").alias("_fine")
     )
@@ -143,13 +146,12 @@ def judge(docs: DataFrame, min_group: int = 100) -> DataFrame:
     return joined.withColumn("kept", kept).drop("_l", "_s", "_cl", "_fine_n", "_fine", "_coarse", "_q")
 
 
-def filter_documents(docs: DataFrame) -> DataFrame:
+def filter_documents(docs: DataFrame, min_group: int = 100) -> DataFrame:
     """The documents that ``judge`` keeps, with the columns of ``docs``.
 
-    Each row carries its verdict by a number of its own, given once by the
-    table that holds text and counts together, so rows with equal ids stay apart.
+    Each document lies in one struct beside its counts in the table that is
+    written once, so its verdict needs no join back and no name can clash.
     """
-    row = "_quality_row"
-    numbered = scratch(docs.withColumn(row, F.monotonically_increasing_id()), "quality-docs")
-    good = judge(numbered).where("kept").select(row)
-    return numbered.join(good, row, "left_semi").drop(row).select(*docs.columns)
+    whole = F.struct(*[F.col(ddl_name(c)) for c in docs.columns]).alias("_doc")
+    ratios = with_ratios(with_counts(docs.select(whole, "text", "lang", "source"))).drop("text")
+    return _verdicts(scratch(ratios, "quality-docs"), min_group).where("kept").select("_doc.*")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brindle.llm.common import drop_scratch, scratch, text_bytes, views
+from brindle.llm.common import ddl_name, drop_scratch, scratch, sliced, text_bytes, views
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 SEED = 42
@@ -53,7 +53,7 @@ def with_fingerprints(docs: DataFrame, width: int = 3, keep: list[str] | None =
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("fingerprint", T.LongType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             prints = np.array([fingerprint(bytes(v), width) for v in views(batch.column(len(keep)))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(prints.view(np.int64))], names=schema.names)
 
@@ -253,11 +253,20 @@ def near_duplicates(docs: DataFrame, width: int = 3, limit: int = 3, extra: list
 def keep_one(docs: DataFrame, width: int = 3, limit: int = 3) -> DataFrame:
     """One document of each component, the one with the least doc_id, with the columns of ``docs``.
 
-    Of rows that share that doc_id, one stays. Each row carries a number of its
-    own in a written table, so equal rows can be told apart.
+    A document is known by 128 bits over its text and id; of rows that share
+    both, one stays. The texts are shuffled once and not copied.
     """
-    row = "_simhash_row"
-    numbered = scratch(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-docs")
-    grouped = near_duplicates(numbered, width, limit, [row])
-    best = grouped.groupBy("component").agg(F.min_by(row, F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias(row))
-    return numbered.join(best.select(row), row, "left_semi").select(*docs.columns)
+    raw = text_bytes()
+    keyed = docs.select(
+        F.struct(*[F.col(ddl_name(c)) for c in docs.columns]).alias("_doc"),
+        "doc_id",
+        "text",
+        F.xxhash64(raw).alias("_k1"),
+        F.xxhash64(F.lit("second"), raw, F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("_k2"),
+    )
+    grouped = near_duplicates(keyed, width, limit, ["_k1", "_k2"])
+    first = F.min_by(F.struct("_k1", "_k2"), F.struct(F.col("doc_id").isNull(), "doc_id", "_k1", "_k2"))
+    best = grouped.groupBy("component").agg(first.alias("_best")).select("_best.*")
+    chosen = keyed.drop("doc_id", "text").join(best, ["_k1", "_k2"], "left_semi")
+    one = F.row_number().over(W.partitionBy("_k1", "_k2").orderBy(F.xxhash64("_doc")))
+    return chosen.withColumn("_n", one).where("_n = 1").select("_doc.*")

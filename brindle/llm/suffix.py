@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import ddl_name, scratch, text_bytes, views
+from brindle.llm.common import ddl_name, scratch, sliced, text_bytes, views
 
 GRAM = 32
 BLOCK = 64
@@ -236,7 +236,7 @@ def _segments(docs: DataFrame, length: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
-        for batch in batches:
+        for batch in sliced(batches):
             rows, counts = [], []
             for v in views(batch.column(3)):
                 if len(v) < length:
@@ -262,7 +262,7 @@ def _fetched(docs: DataFrame, needs: DataFrame, length: int, group_limit: int) -
     """The bytes of segments that must be compared, keyed by the group they are compared in."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for v, wanted in zip(views(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 for w in wanted:
@@ -309,7 +309,7 @@ def _compared(fetched: DataFrame, length: int, batch_bytes: int = 1 << 20) -> Da
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)], names=["s1", "s2", "a", "b"])
 
-        for batch in batches:
+        for batch in sliced(batches, 2000):
             g, u1, u2, s1, s2, base, n_starts, n = (batch.column(i).to_pylist() for i in range(8))
             for i, v in enumerate(views(batch.column(8))):
                 if g[i] != group:
@@ -367,7 +367,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, group_limit: int = 1000)
     schema = T.StructType([*[docs.schema[c] for c in rest], *more])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             removed, kept, size = [], [], []
             for v, runs in zip(views(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 spans = spans_of([(r["a"], r["b"]) for r in runs or []], length)
