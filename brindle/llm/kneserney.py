@@ -109,7 +109,14 @@ def with_perplexity(docs: DataFrame, model: np.ndarray) -> DataFrame:
     return docs.withColumn("perplexity", perplexity(text_bytes()))
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, margin: float = 0.15) -> DataFrame:
+def known_ids(labels: DataFrame, broadcast_ids: int) -> DataFrame:
+    """Ids of trusted documents. Up to ``broadcast_ids`` (8 bytes each) they go to
+    the texts; beyond that texts and ids meet in a shuffle. The result is the same."""
+    good = scratch(labels.where("quality = 1").select("doc_id").distinct(), "trusted")
+    return F.broadcast(good) if good.count() <= broadcast_ids else good
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, margin: float = 0.15, broadcast_ids: int = 4_000_000) -> DataFrame:
     """doc_id, lang, perplexity, threshold and kept of every document.
 
     Trusted text is that of every document labelled quality 1. A document is
@@ -120,7 +127,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, margin:
     language is one more; repeated rows are scored alike; without trusted text
     nothing is rejected; an empty table gives no rows.
     """
-    good = labels.where("quality = 1").select("doc_id").distinct()
+    good = known_ids(labels, broadcast_ids)
     trusted = docs.select("doc_id", "text").join(good, "doc_id", "left_semi")
     model = dense(train(trusted))
     scored = scratch(with_perplexity(docs.select("doc_id", "lang", "text"), model).drop("text"), "kn-scores")
