@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from brindle.llm import decontam, kneserney, packing, quality, sharding, simhash, spans, suffix, symbols, toxicity, urls
+from brindle.llm import decontam, kneserney, packing, quality, sharding, simhash, spans, sql, suffix, symbols, toxicity, urls
 
 tokenizers = pytest.importorskip("tokenizers")
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -273,6 +273,24 @@ def test_decontamination(spark, docs, rows):
     assert clean[3] == "" and clean[2] == " \n\t " and clean[0] is None and clean[4] == ""
 
 
+def test_sql_agrees(spark, docs, rows):
+    duckdb = pytest.importorskip("duckdb")
+    items = [("10", " ".join(words(rows[10][1])[2:30])), ("9", "one"), ("b", None), ("c", "..."), (None, "TWO words"), ("d", rows[12][1][:200])]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    con.register("benchmark", bench.toArrow())
+    results = {
+        sql.SUFFIX_DEDUP: suffix.with_digests(suffix.remove_repeats(docs)),
+        sql.DECONTAMINATION: decontam.with_digests(decontam.find_contamination(docs, bench)),
+        sql.QUALITY_RULES: quality.judge(docs),
+    }
+    for text, frame in results.items():
+        found = con.execute(text)
+        columns = [c[0] for c in found.description]
+        assert Counter(found.fetchall()) == Counter(map(tuple, frame.select(*columns).collect()))
+
+
 def test_kneser_ney(spark):
     rnd = random.Random(6)
     good = ["".join(rnd.choice(["the ", "cat ", "sat ", "on ", "mats "]) for _ in range(60)) for _ in range(80)]
