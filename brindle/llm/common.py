@@ -70,12 +70,6 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-    release_unused()
-
-
-def release_unused() -> None:
-    """Give back what Arrow has freed: idle workers stay beside the next stage's."""
-    pa.default_memory_pool().release_unused()
 
 
 def lower_ascii(column):

@@ -27,8 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import release_unused
-
 LETTER, NUMBER, SPACE, OTHER, END = range(5)
 #: One code point above Unicode: ends each document of a batch.
 STOP = 0x110000
@@ -309,7 +307,6 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, shortest: int =
                     yield rows(out)
         if left := list(bins.close()):
             yield rows(left)
-        release_unused()
 
     source = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return source.mapInArrow(work, schema)
