@@ -68,4 +68,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_suffix_dedup": sql.SUFFIX_DEDUP,
         "op5_quality_rules": sql.QUALITY_RULES,
         "op6_decontamination": sql.DECONTAMINATION,
+        "op8_sentence_spans": sql.SENTENCE_SPANS,
     }

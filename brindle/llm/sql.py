@@ -96,3 +96,20 @@ judged AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({_outside()}) AS kept
 FROM judged
 """
+
+#: White space and the end of a sentence as in brindle.llm.spans; one private code point parts the sentences.
+_WS, _CUT = r"[\t\n\x0b\f\r ]", "chr(57344)"
+
+SENTENCE_SPANS = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, * FROM documents),
+parts AS (
+  SELECT r, doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?]+["'')\]]*{_WS}+|{_WS}*\n{_WS}*)', '\1' || {_CUT}, 'g'), {_CUT}), lambda x: x <> '') AS s
+  FROM d),
+bare AS (SELECT r, doc_id, list_transform(s, lambda x: regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')) AS b FROM parts),
+spans AS (SELECT r, doc_id, i, md5(array_to_string(b[i:i + 2], chr(10))) AS h FROM (SELECT r, doc_id, b, unnest(range(1, len(b) - 1)) AS i FROM bare)),
+ranked AS (SELECT r, i, row_number() OVER (PARTITION BY h ORDER BY doc_id NULLS LAST, r, i) AS k FROM spans),
+gone AS (SELECT r, list(DISTINCT j) AS js FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM ranked WHERE k > 1) GROUP BY r)
+SELECT d.* EXCLUDE (r) REPLACE (CASE WHEN js IS NULL THEN text ELSE array_to_string(list_filter(s, lambda x, j: NOT list_contains(js, j)), '') END AS text),
+  len(s)::BIGINT AS n_sentences, coalesce(len(js), 0)::BIGINT AS n_removed
+FROM d JOIN parts USING (r) LEFT JOIN gone USING (r)
+"""

@@ -320,6 +320,19 @@ def test_spans(spark):
         assert b"".join(t[a:b] for a, b in spans.sentences(t)) == t
 
 
+def test_sql_of_spans_agrees(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rnd = random.Random(12)
+    parts = ["One here. ", "Two (there)!\n", "Three?\n\n ", "four \" a.b ", "Fünf.) ", "...", " \t\x0b\f\r", "6! ", "\n"]
+    own = [(i, "".join(rnd.choice(parts) for _ in range(rnd.randrange(12)))) for i in range(150)] + [(None, "".join(parts)), (200, None), (201, "".join(parts))]
+    df = spark.createDataFrame(own, "doc_id long, text string").repartition(3)
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
+    found = con.execute(sql.SENTENCE_SPANS)
+    columns = [c[0] for c in found.description]
+    assert Counter(found.fetchall()) == Counter(map(tuple, spans.remove_repeated_spans(df).select(*columns).collect()))
+
+
 def test_sharding(docs, rows):
     got = sharding.shard_documents(docs).collect()
     slots = defaultdict(list)
