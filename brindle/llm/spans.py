@@ -66,11 +66,14 @@ def remove_repeated_spans(docs: DataFrame, span: int = 3) -> DataFrame:
     numbered = scratch(numbered.select("_doc", "doc_id", "_row", text_bytes().alias("_bytes")), "span-docs")
     spans = scratch(find_spans(numbered, span), "spans")
     ids = numbered.select(F.col("_row").alias("row"), "doc_id")
+    # Aggregates are written before the joins that read them: Spark splits a hot key only between plain exchanges.
     several = spans.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    several = scratch(several, "span-hashes")
     repeated = scratch(spans.join(several, ["h1", "h2"], "left_semi").join(ids, "row"), "repeated-spans")
     first = repeated.groupBy("h1", "h2").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "place")).alias("first")
     )
+    first = scratch(first, "first-spans")
     later = repeated.join(first, ["h1", "h2"]).where("row <> first.row or place <> first.place")
     marks = later.groupBy("row").agg(F.collect_list("place").alias("places"))
     columns = docs.columns
