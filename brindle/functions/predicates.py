@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.functions.dynamic import at_path, compile_variant_tests
 from brindle.functions.literals import FLOATS, NUMBERS, rank_of, rank_of_type, same_value
 from brindle.plans.filters import And, Compare, ElemMatch, Exists, Field, HasAll, HasSize, HasType, Member, Or, parse_filter
 
@@ -32,6 +33,8 @@ class Scope:
 
     @classmethod
     def of_value(cls, value: Column, kind: T.DataType) -> Scope:
+        if isinstance(kind, T.VariantType):
+            return VariantScope(value)
         fields = kind if isinstance(kind, T.StructType) else T.StructType([])
         return cls(fields, value.getField, "")
 
@@ -41,7 +44,9 @@ class Scope:
         if name not in self.kind.names:
             return F.lit(None), T.NullType()
         column, kind = self.column(name), self.kind[name].dataType
-        for step in path[1:]:
+        for at, step in enumerate(path[1:], 1):
+            if isinstance(kind, T.VariantType):
+                return at_path(column, path[at:]), kind
             if isinstance(kind, T.StructType) and step in kind.names:
                 column, kind = column.getField(step), kind[step].dataType
             elif isinstance(kind, T.ArrayType) and step.isdigit():
@@ -53,6 +58,17 @@ class Scope:
         return column, kind
 
 
+class VariantScope(Scope):
+    """Where paths start in one variant."""
+
+    def __init__(self, value: Column):
+        super().__init__(T.StructType([]), value.getField, "")
+        self.value = value
+
+    def resolve(self, path: tuple[str, ...]) -> tuple[Column, T.DataType]:
+        return at_path(self.value, path), T.VariantType()
+
+
 def compile_filter(node, scope: Scope, bare: bool = True) -> Column:
     match node:
         case And(parts):
@@ -67,6 +83,8 @@ def compile_filter(node, scope: Scope, bare: bool = True) -> Column:
 
 def compile_tests(tests: tuple, column: Column, kind: T.DataType, bare: bool = False) -> Column:
     """All tests on one value; the bounds on an array hold for one of its elements together."""
+    if isinstance(kind, T.VariantType):
+        return compile_variant_tests(tests, column, lambda body, e: element_test(body, e, kind))
     bounds = [t for t in tests if isinstance(t, Compare) and t.op != "ne"]
     if isinstance(kind, T.ArrayType):
         out = [_any_element(column, kind, bounds)] if bounds else []

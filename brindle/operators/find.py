@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql.types import VariantVal
 
 from brindle.functions.predicates import Scope, where
 from brindle.operators.project import project, sort_columns
@@ -63,7 +64,7 @@ def to_document(value):
         return {k: to_document(v) for k, v in value.asDict().items() if v is not None}
     if isinstance(value, list):
         return [to_document(v) for v in value]
-    return value
+    return value.toPython() if isinstance(value, VariantVal) else value
 
 
 def find(df: DataFrame, filter: dict | None = None, key: str = "_id") -> Find:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.functions.dynamic import sort_keys
 from brindle.functions.literals import FLOATS
 from brindle.functions.predicates import Scope, element_test
 from brindle.plans.projections import Match, Projection, Slice
@@ -80,6 +81,9 @@ def sort_columns(scope: Scope, keys: list[tuple[tuple[str, ...], int]]) -> list[
     out = []
     for path, way in keys:
         column, kind = scope.resolve(path)
+        if isinstance(kind, T.VariantType):
+            out += [c.asc_nulls_first() if way > 0 else c.desc_nulls_last() for c in sort_keys(column)]
+            continue
         if isinstance(kind, FLOATS):
             nan = F.coalesce(F.isnan(column), F.lit(False))
             missing = column.isNull()

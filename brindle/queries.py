@@ -70,6 +70,23 @@ def _chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("roles", F.transform("turns", lambda t: t["role"])).withColumn("nums", F.transform("turns", lambda t: t["turn"]))
 
 
+def _loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events with props as a variant: by type of event it lacks k, or k is null, text or an array."""
+    k = F.get_json_object("props", "$.k")
+    text = (
+        F.when(F.col("event_type") == "view", F.lit("{}"))
+        .when(F.col("event_type") == "click", F.lit('{"k": null}'))
+        .when(F.col("event_type") == "purchase", F.concat(F.lit('{"k": "'), k, F.lit('"}')))
+        .when(F.col("event_type") == "signup", F.concat(F.lit('{"k": [1, '), k, F.lit("]}")))
+        .otherwise(F.col("props"))
+    )
+    return _table(spark, sf_dir, "events").withColumn("d", F.parse_json(text))
+
+
+#: The same in SQL: t is the type of k (null: missing), n its number, s its text, a the array's second element.
+LOOSE = """WITH e AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+ l AS (SELECT event_id, CASE event_type WHEN 'view' THEN NULL WHEN 'click' THEN 'null' WHEN 'purchase' THEN 'text' WHEN 'signup' THEN 'array' ELSE 'number' END AS t,
+ k AS n, CAST(k AS VARCHAR) AS s, k AS a FROM e) """
 CHATS = """WITH chats AS (SELECT conv_id, list({'turn': turn, 'role': role, 'size': length(text)::INTEGER} ORDER BY turn, role, length(text)) AS turns,
  list(role ORDER BY turn, role, length(text)) AS roles, list(turn ORDER BY turn, role, length(text)) AS nums FROM conversations GROUP BY conv_id) """
 SEGS = "WITH c AS (SELECT *, nullif(c_mktsegment, 'BUILDING') AS seg FROM customer) "
@@ -297,3 +314,30 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["flagship"] = flagship
 SQL["flagship"] = "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice >= 200000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 10"
+
+
+# Dynamic mode: a variant column, in which missing, null and mixed types are told apart.
+
+
+def _dynamic(name: str, filter: dict, sql: str, sort=None, limit=None) -> None:
+    _find(name, "events", "event_id", filter, ["event_id"], LOOSE + f"SELECT event_id FROM l {sql}", sort=sort, limit=limit, derive=_loose)
+
+
+_dynamic("v_eq", {"d.k": 7}, "WHERE (t = 'number' AND n = 7) OR (t = 'array' AND (a = 7 OR 1 = 7))")
+_dynamic("v_eq_null", {"d.k": None}, "WHERE t IS NULL OR t = 'null'")
+_dynamic("v_ne", {"d.k": {"$ne": 7}}, "WHERE NOT coalesce(t = 'number' AND n = 7, false)")
+_dynamic("v_range", {"d.k": {"$gt": 10, "$lt": 40}}, "WHERE t IN ('number', 'array') AND n > 10 AND n < 40")
+_dynamic("v_lt_null", {"d.k": {"$lt": 5}}, "WHERE t = 'null' OR (t = 'number' AND n < 5) OR t = 'array'")
+_dynamic("v_gt_types", {"d.k": {"$gt": 50}}, "WHERE t = 'text' OR (t IN ('number', 'array') AND n > 50)")
+_dynamic("v_in", {"d.k": {"$in": [3, "4", None]}}, "WHERE t = 'null' OR (t = 'number' AND n = 3) OR (t = 'text' AND s = '4')")
+_dynamic("v_nin", {"d.k": {"$nin": [3, "4"]}}, "WHERE t IS NOT NULL AND NOT (t = 'number' AND n = 3) AND NOT (t = 'text' AND s = '4')")
+_dynamic("v_exists", {"d.k": {"$exists": False}}, "WHERE t IS NULL")
+_dynamic("v_type", {"d.k": {"$type": "string"}}, "WHERE t = 'text'")
+_dynamic("v_size", {"d.k": {"$size": 2}}, "WHERE t = 'array'")
+_dynamic("v_all", {"d.k": {"$all": [1, 9]}}, "WHERE t = 'array' AND a = 9")
+_dynamic("v_elem_match", {"d.k": {"$elemMatch": {"$gte": 20, "$lt": 30}}}, "WHERE t = 'array' AND a >= 20 AND a < 30")
+_dynamic("v_index", {"d.k.1": {"$gte": 90}}, "WHERE t = 'array' AND a >= 90")
+_dynamic(
+    "v_topk", {}, "ORDER BY CASE t WHEN 'array' THEN 5 WHEN 'text' THEN 3 WHEN 'number' THEN 2 ELSE 1 END, CASE t WHEN 'number' THEN n END, CASE t WHEN 'text' THEN s END, event_id LIMIT 4000",
+    sort={"d.k": 1, "event_id": 1}, limit=4000,
+)
