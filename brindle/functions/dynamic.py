@@ -1,4 +1,4 @@
-"""Dynamic mode: predicates and sort keys on VARIANT values.
+"""Dynamic mode: predicates, projections and sort keys on VARIANT values.
 
 A path into a VARIANT column needs no schema: a field may be missing, null or of
 another type in each row. Missing is a null column, null is a variant that holds
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from brindle.errors import InvalidRequest
 from brindle.functions.literals import rank_of
 from brindle.plans.filters import Compare, ElemMatch, Exists, HasAll, HasSize, HasType, Member
+from brindle.plans.projections import Match, Slice
 
 #: What schema_of_variant begins with, by rank of the type.
 RANKS = {
@@ -166,6 +167,48 @@ def _has_type(value: Column, name: str) -> Column:
     return kind.isin(*names[name]) if name in names else F.lit(False)
 
 
+def fields(value: Column) -> Column:
+    """A document as a map, null for any other value. A null field stays a value."""
+    return F.transform_values(F.try_variant_get(value, "$", "map<string,variant>"), lambda _, v: F.coalesce(v, F.parse_json(F.lit("null"))))
+
+
+def take(column: Column, rule: Slice) -> Column:
+    if rule.limit < 0:
+        n = -rule.limit
+        return F.slice(column, F.greatest(F.size(column) - F.lit(n - 1), F.lit(1)), F.lit(n))
+    return F.slice(column, rule.skip + 1, rule.limit)
+
+
+def keep(value: Column, rule: Any, element_test: Callable) -> Column:
+    """What an including projection leaves of a variant; null where nothing is left."""
+    if rule is True:
+        return value
+    if isinstance(rule, Slice):
+        return F.to_variant_object(take(elements(value), rule))
+    if isinstance(rule, Match):
+        return F.to_variant_object(F.filter(elements(value), lambda e: element_test(rule.body, e)))
+    parts = [F.struct(F.lit(step).alias("k"), keep(at_path(value, (step,)), rule[step], element_test).alias("v")) for step in sorted(rule)]
+    left = F.map_from_entries(F.filter(F.array(*parts), lambda e: e["v"].isNotNull()))
+    holders = ["OBJECT", "ARRAY"] if any(step.isdigit() for step in rule) else ["OBJECT"]
+    return F.when(kind_of(value).isin(*holders), F.to_variant_object(left))
+
+
+def drop(value: Column, rule: dict) -> Column:
+    """A variant without the fields of an excluding projection, which reaches through documents only."""
+    gone = [name for name, inner in rule.items() if inner is True]
+    left = fields(value)
+    if gone:
+        left = F.map_filter(left, lambda k, _: ~k.isin(*gone))
+    for name, inner in rule.items():
+        if inner is not True:
+            left = _changed(left, name, inner)
+    return F.when(kind_of(value) == "OBJECT", F.to_variant_object(left)).otherwise(value)
+
+
+def _changed(left: Column, name: str, rule: dict) -> Column:
+    return F.transform_values(left, lambda k, v: F.when(k == name, drop(v, rule)).otherwise(v))
+
+
 def sort_keys(value: Column) -> list[Column]:
     """Columns that order variants by rank and then by value; missing stands with null.
     Documents and arrays are ordered by their JSON text."""

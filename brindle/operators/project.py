@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.functions.dynamic import sort_keys
+from brindle.functions import dynamic
+from brindle.functions.dynamic import take
 from brindle.functions.literals import FLOATS
 from brindle.functions.predicates import Scope, element_test
 from brindle.plans.projections import Match, Projection, Slice
@@ -37,6 +38,8 @@ def project(df: DataFrame, projection: Projection, key: str = "_id") -> DataFram
 def _keep(column: Column, kind: T.DataType, rule) -> Column | None:
     if rule is True:
         return column
+    if isinstance(kind, T.VariantType):
+        return dynamic.keep(column, rule, lambda body, e: element_test(body, e, kind))
     if isinstance(rule, Slice):
         return take(column, rule) if isinstance(kind, T.ArrayType) else None
     if isinstance(rule, Match):
@@ -56,14 +59,9 @@ def _keep(column: Column, kind: T.DataType, rule) -> Column | None:
     return F.when(column.isNotNull(), F.struct(*parts)) if parts else None
 
 
-def take(column: Column, rule: Slice) -> Column:
-    if rule.limit < 0:
-        n = -rule.limit
-        return F.slice(column, F.greatest(F.size(column) - F.lit(n - 1), F.lit(1)), F.lit(n))
-    return F.slice(column, rule.skip + 1, rule.limit)
-
-
 def _drop(column: Column, kind: T.DataType, rule: dict) -> Column:
+    if isinstance(kind, T.VariantType):
+        return dynamic.drop(column, rule)
     if not isinstance(kind, T.StructType):
         return column
     parts = []
@@ -82,7 +80,7 @@ def sort_columns(scope: Scope, keys: list[tuple[tuple[str, ...], int]]) -> list[
     for path, way in keys:
         column, kind = scope.resolve(path)
         if isinstance(kind, T.VariantType):
-            out += [c.asc_nulls_first() if way > 0 else c.desc_nulls_last() for c in sort_keys(column)]
+            out += [c.asc_nulls_first() if way > 0 else c.desc_nulls_last() for c in dynamic.sort_keys(column)]
             continue
         if isinstance(kind, FLOATS):
             nan = F.coalesce(F.isnan(column), F.lit(False))
