@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import ddl_name, scratch, sliced, text_bytes, views
+from brindle.llm.common import ddl_name, drop_scratch, scratch, sliced, text_bytes, views
 
 #: Bytes that belong to words: digits, small letters, all of UTF-8 beyond ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -109,7 +109,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 8, blo
     schema = T.StructType(
         [*docs.schema.fields, *T._parse_datatype_string("n_words long, hit_runs array<array<int>>, items array<string>").fields]
     )
-    spark, found = docs.sparkSession, None
+    spark, found, held = docs.sparkSession, None, None
     names = [ddl_name(c) for c in docs.columns]
     for block in _blocks(benchmark, block_bytes):
         vocabulary = {w for _, text in block for w in words_of(text)}
@@ -135,7 +135,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 8, blo
         if part is not None:
             found = part.mapInArrow(work, schema)
         else:
-            found = _merge(scratch(found, "decontam"), work, names, schema)
+            earlier, held = held, scratch(found, "decontam")
+            if earlier is not None:
+                drop_scratch(earlier)
+            found = _merge(held, work, names, schema)
     return found
 
 
@@ -143,7 +146,8 @@ def _merge(earlier: DataFrame, work, names: list[str], schema: T.StructType) ->
     """Another block of items over the same rows: its runs and items join those found so far."""
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # Small batches first: work makes one batch of each, so rows and their new runs stay side by side.
+        for batch in sliced(batches):
             k = batch.num_columns - 4
             thin = pa.RecordBatch.from_arrays([*batch.columns[:k], batch.columns[-1]], names=[*batch.schema.names[:k], "_bytes"])
             new = next(work(iter([thin])))

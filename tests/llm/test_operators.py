@@ -273,6 +273,19 @@ def test_decontamination(spark, docs, rows):
     assert clean[3] == "" and clean[2] == " \n\t " and clean[0] is None and clean[4] == ""
 
 
+def test_decontamination_blocks_over_large_batches(spark):
+    items = [(str(i), f"item {i} has these very words of its own") for i in range(3)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    texts = [" x ".join(items[j][1] for j in range(3) if i % 7 & 1 << j) for i in range(1300)]
+    own = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    own = own.unionByName(own.limit(0))
+    got = {r.doc_id: r for r in decontam.find_contamination(own, bench, block_bytes=50).collect()}
+    assert len(got) == 1300
+    for i, r in got.items():
+        assert r.text == texts[i] and r.items == [str(j) for j in range(3) if i % 7 & 1 << j]
+        assert [list(x) for x in r.hit_runs] == [[10 * k, 10 * k + 9] for k in range(len(r.items))]
+
+
 def test_sql_agrees(spark, docs, rows):
     duckdb = pytest.importorskip("duckdb")
     items = [("10", " ".join(words(rows[10][1])[2:30])), ("9", "one"), ("b", None), ("c", "..."), (None, "TWO words"), ("d", rows[12][1][:200])]
