@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LETTER, NUMBER, SPACE, OTHER, END = range(5)
-#: One code point above Unicode: ends each document of a batch.
+#: One code point above Unicode: ends each document of a batch. Those after it stand for added tokens.
 STOP = 0x110000
 #: Endings that split from a word after an apostrophe: fixed values of the tokenizer.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -56,11 +57,13 @@ def _classes() -> np.ndarray:
 def piece_starts(chars: np.ndarray) -> np.ndarray:
     """Where the tokenizer's own splitting starts a new piece, over documents that end in STOP.
 
+    An added token is one code point above STOP and parts what is around it.
+
     A piece is a run of letters, of numbers or of other signs, with one space
     before it if there is one; a run of white space without that last character;
     or an apostrophe with one of ENDINGS.
     """
-    kind = _classes()[chars]
+    kind = _classes()[np.minimum(chars, STOP)]
     change = np.empty(len(kind), dtype=bool)
     change[0] = True
     np.not_equal(kind[1:], kind[:-1], out=change[1:])
@@ -95,11 +98,17 @@ class Encoder:
 
     Pieces are told apart by a 64-bit polynomial hash over mixed code points
     that their length enters as well; unseen ones are encoded by the tokenizer's own ranks. The
-    store is emptied when it exceeds ``limit`` pieces.
+    store is emptied when it exceeds ``limit`` pieces. With ``added``, the file's added tokens
+    get their own ids wherever they stand, as the tokenizer's default has it; else they are plain text.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 300_000, added: bool = False):
         self.limit = limit
+        self.added = _added_tokens(path) if added else {}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.marks = re.compile("|".join(map(re.escape, longest))) if longest else None
+        self.mark = {t: STOP + 1 + i for i, t in enumerate(self.added)}
+        self.mark_ids = list(self.added.values())
         self.known: dict[int, int] = {}
         self.encode = _piece_encoder(path)
         odd = pow(0x9E3779B97F4A7C15, 1, 1 << 64)
@@ -127,7 +136,11 @@ class Encoder:
         parts = []
         stop = np.array([STOP], dtype=np.uint32)
         for t in texts:
-            parts += [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), stop]
+            at = 0
+            for m in self.marks.finditer(t) if self.marks else ():
+                parts += [_code_points(t[at : m.start()]), np.array([self.mark[m[0]]], dtype=np.uint32)]
+                at = m.end()
+            parts += [_code_points(t[at:] if at else t), stop]
         chars = np.concatenate(parts)
         starts = piece_starts(chars)
         ends = np.append(starts[1:], len(chars))
@@ -153,7 +166,11 @@ class Encoder:
                 if piece[0] == STOP:
                     at = 0
                 else:
-                    ids = np.array(self.encode(piece.tobytes().decode("utf-32-le", "surrogatepass")), dtype=np.uint32)
+                    if piece[0] > STOP:
+                        own = [self.mark_ids[piece[0] - STOP - 1]]
+                    else:
+                        own = self.encode(piece.tobytes().decode("utf-32-le", "surrogatepass"))
+                    ids = np.array(own, dtype=np.uint32)
                     at = count + len(sizes)
                     fresh.append(ids)
                     sizes.append(len(ids))
@@ -171,6 +188,19 @@ class Encoder:
         return ids, run[pieces == 0]
 
 
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer file and their ids."""
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f).get("added_tokens") or []
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in tokens):
+        raise ValueError("added tokens that take white space or need whole words are not supported")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 def _piece_encoder(path: str):
     """Encodes one piece by the ranks in a tokenizer file.
 
@@ -204,7 +234,7 @@ def _piece_encoder(path: str):
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One a worker process: pieces seen by one task serve the next."""
-    return Encoder(path)
+    return Encoder(path, added=True)
 
 
 def cuts(n: int, capacity: int, shortest: int) -> list[int]:

@@ -221,6 +221,19 @@ def test_encoder_splits_as_the_tokenizer():
         at = end
 
 
+def test_packing_gives_added_tokens_their_ids(spark):
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    whole = tokenizers.Tokenizer.from_file(path)
+    mark = "<|endoftext|>"
+    odd = [f"a{mark}b", f"  {mark} 's", mark * 2, mark[:-1], f"it's {mark}'s \n {mark}\n\n x", f"<|{mark}|>", "plain", None]
+    rnd = random.Random(5)
+    odd += ["".join(rnd.choice(["a", " ", "'s", "\n", "1", ".", "é", mark]) for _ in range(40)) for _ in range(200)]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), path, capacity=4096, shortest=4096).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, dtype="<u4").tolist() for r in rows} == {
+        i: [*whole.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(odd)
+    }
+
+
 def test_quality(docs, rows):
     want = Counter()
     for r in rows:
