@@ -48,7 +48,7 @@ STAGES = [
     ("harmonic_packing", harmonic_packing),
 ]
 
-#: Fingerprints, byte runs and token ids have no form in SQL; tests hold each stage against brute force.
+#: Fingerprints, byte runs and token ids have no form in SQL; a test compares the stages' row counts with their operators'.
 ORACLE_SQL = None
 
 
