@@ -96,9 +96,9 @@ def piece_starts(chars: np.ndarray) -> np.ndarray:
 class Encoder:
     """Token ids of many texts at once, with a store of pieces already seen.
 
-    Pieces are told apart by a 64-bit polynomial hash over mixed code points
-    that their length enters as well; unseen ones are encoded by the tokenizer's own ranks. The
-    store is emptied when it exceeds ``limit`` pieces. With ``added``, the file's added tokens
+    Pieces meet by a 64-bit polynomial hash over mixed code points that their length enters as
+    well, and their code points are compared; unseen ones, and those that share another's hash, are
+    encoded by the tokenizer's own ranks. The store is emptied when it exceeds ``limit`` pieces. With ``added``, the file's added tokens
     get their own ids wherever they stand, as the tokenizer's default has it; else they are plain text.
     """
 
@@ -122,6 +122,9 @@ class Encoder:
         self.ids = np.zeros(1, dtype=np.uint32)
         self.start = np.zeros(1, dtype=np.int64)
         self.size = np.ones(1, dtype=np.int64)
+        # The code points of each stored piece; the first is the end of a text.
+        self.points = np.array([STOP], dtype=np.uint32)
+        self.from_, self.length = np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64)
 
     def _grow(self, n: int) -> None:
         if len(self.powers) <= n:
@@ -155,38 +158,62 @@ class Encoder:
         code, first, which = np.unique(code, return_index=True, return_inverse=True)
         if len(self.known) + len(code) > self.limit:
             self._clear()
-        place = np.empty(len(code), dtype=np.int64)
-        fresh: list[np.ndarray] = []
-        known, sizes, total, count = self.known, [], len(self.ids), len(self.size)
-        lo, hi = starts[first].tolist(), ends[first].tolist()
-        for j, key in enumerate(code.tolist()):
-            at = known.get(key)
-            if at is None:
-                piece = chars[lo[j] : hi[j]]
-                if piece[0] == STOP:
-                    at = 0
-                else:
-                    if piece[0] > STOP:
-                        own = [self.mark_ids[piece[0] - STOP - 1]]
-                    else:
-                        own = self.encode(piece.tobytes().decode("utf-32-le", "surrogatepass"))
-                    ids = np.array(own, dtype=np.uint32)
-                    at = count + len(sizes)
-                    fresh.append(ids)
-                    sizes.append(len(ids))
-                known[key] = at
-            place[j] = at
-        if fresh:
-            size = np.array(sizes, dtype=np.int64)
-            self.start = np.concatenate([self.start, total + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.ids = np.concatenate([self.ids, *fresh])
+        lo, length = starts[first], (ends - starts)
+        place = np.array([self.known.get(k, -1) for k in code.tolist()], dtype=np.int64)
+        hit = np.flatnonzero(place >= 0)
+        own = length[first]
+        clash = _differ(chars, lo[hit], own[hit], self.points, self.from_[place[hit]], self.length[place[hit]])
+        place[hit[clash]] = -1
+        new = np.flatnonzero(place < 0)
+        place[new] = self._store([chars[a : a + n] for a, n in zip(lo[new].tolist(), own[new].tolist(), strict=True)])
+        self.known.update(zip(code[new].tolist(), place[new].tolist(), strict=True))
         pieces = place[which]
+        # Within a batch each piece must be its representative, too.
+        clash = _differ(chars, starts, length, chars, lo[which], own[which])
+        if clash.any():
+            pieces[clash] = self._store([chars[a:b] for a, b in zip(starts[clash].tolist(), ends[clash].tolist(), strict=True)])
         size = self.size[pieces]
         run = np.cumsum(size)
         ids = self.ids[np.repeat(self.start[pieces] - (run - size), size) + np.arange(run[-1])]
         return ids, run[pieces == 0]
 
+    def _store(self, pieces: list[np.ndarray]) -> np.ndarray:
+        """Places of pieces that are encoded now."""
+        ids, place = [], np.zeros(len(pieces), dtype=np.int64)
+        kept = []
+        for j, piece in enumerate(pieces):
+            if piece[0] == STOP:
+                continue
+            if piece[0] > STOP:
+                own = [self.mark_ids[piece[0] - STOP - 1]]
+            else:
+                own = self.encode(piece.tobytes().decode("utf-32-le", "surrogatepass"))
+            place[j] = len(self.size) + len(ids)
+            ids.append(np.array(own, dtype=np.uint32))
+            kept.append(piece)
+        if ids:
+            size, length = (np.array([len(x) for x in xs], dtype=np.int64) for xs in (ids, kept))
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.ids = np.concatenate([self.ids, *ids])
+            self.from_ = np.concatenate([self.from_, len(self.points) + np.cumsum(length) - length])
+            self.length = np.concatenate([self.length, length])
+            self.points = np.concatenate([self.points, *kept])
+        return place
+
+
+def _differ(a: np.ndarray, a_start, a_length, b: np.ndarray, b_start, b_length) -> np.ndarray:
+    """Which of the pieces of ``a`` are not the pieces of ``b`` at the same number."""
+    out = a_length != b_length
+    look = np.flatnonzero(~out)
+    if len(look):
+        n = a_length[look]
+        first = np.cumsum(n) - n
+        step = np.arange(int(n.sum()))
+        unequal = a[step + np.repeat(a_start[look] - first, n)] != b[step + np.repeat(b_start[look] - first, n)]
+        out[look] = np.add.reduceat(unequal, first, dtype=np.int64) > 0
+    return out
+
 
 def _code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
