@@ -18,31 +18,47 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where none is named."""
+    """The folder that all executors share.
+
+    Without ``spark.checkpoint.dir`` it is in the warehouse; a local temporary
+    folder serves only a session whose executors are threads of the driver.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+    if not folder and re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         folder = "file://" + os.path.join(tempfile.gettempdir(), "brindle-scratch")
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/brindle-scratch"
     return folder.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage: what follows reads files that survive a lost
-    executor, and nothing before is computed twice.
+    executor, and nothing before is computed twice. Spark removes the shuffle
+    files of the write when it is over.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(df: DataFrame) -> None:
-    """Delete the files of a table that ``scratch`` made and nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop_scratch(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``scratch`` made and nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -8,6 +8,7 @@ while its group has no more rows than its accuracy.
 from __future__ import annotations
 
 from brindle.llm.quality import FENCES
+from brindle.llm.spans import LEAST_WORDS
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of a string that must not occur twice, and rows judged by their own group.
@@ -106,9 +107,15 @@ parts AS (
   SELECT r, doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?]+["'')\]]*{_WS}+|{_WS}*\n{_WS}*)', '\1' || {_CUT}, 'g'), {_CUT}), lambda x: x <> '') AS s
   FROM d),
 bare AS (SELECT r, doc_id, list_transform(s, lambda x: regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')) AS b FROM parts),
-spans AS (SELECT r, doc_id, i, md5(array_to_string(b[i:i + 2], chr(10))) AS h FROM (SELECT r, doc_id, b, unnest(range(1, len(b) - 1)) AS i FROM bare)),
-ranked AS (SELECT r, i, row_number() OVER (PARTITION BY h ORDER BY doc_id NULLS LAST, r, i) AS k FROM spans),
-gone AS (SELECT r, list(DISTINCT j) AS js FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM ranked WHERE k > 1) GROUP BY r)
+counted AS (SELECT r, doc_id, b, list_transform(b, lambda x: len(regexp_extract_all(x, '[^\t\n\x0b\f\r ]+'))) AS w FROM bare),
+sums AS (SELECT *, list_transform(w, lambda x, i: list_sum(w[1:i])::BIGINT) AS c FROM counted WHERE len(w) > 0),
+starts AS (SELECT r, doc_id, b, c, w, unnest(range(1, len(b) + 1)) AS i FROM sums),
+ends AS (SELECT r, doc_id, b, i, len(list_filter(c, lambda x: x - c[i] + w[i] < {LEAST_WORDS})) + 1 AS e FROM starts),
+spans AS (
+  SELECT r, doc_id, i, e, md5(array_to_string(b[i:e], chr(10))) AS h FROM ends WHERE e <= len(b)
+  UNION ALL SELECT r, doc_id, 1, len(b), md5(array_to_string(b, chr(10))) FROM sums WHERE c[-1] BETWEEN 1 AND {LEAST_WORDS} - 1),
+ranked AS (SELECT r, i, e, row_number() OVER (PARTITION BY h ORDER BY doc_id NULLS LAST, r, i) AS k FROM spans),
+gone AS (SELECT r, list(DISTINCT j) AS js FROM (SELECT r, unnest(range(i, e + 1)) AS j FROM ranked WHERE k > 1) GROUP BY r)
 SELECT d.* EXCLUDE (r) REPLACE (CASE WHEN js IS NULL THEN text ELSE array_to_string(list_filter(s, lambda x, j: NOT list_contains(js, j)), '') END AS text),
   len(s)::BIGINT AS n_sentences, coalesce(len(js), 0)::BIGINT AS n_removed
 FROM d JOIN parts USING (r) LEFT JOIN gone USING (r)

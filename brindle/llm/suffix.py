@@ -19,7 +19,7 @@ gets a whole frequent passage with all its surroundings.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import ddl_name, scratch, sliced, text_bytes, views
+from brindle.llm.common import ddl_name, drop_scratch, scratch, sliced, text_bytes, views
 
 GRAM = 32
 BLOCK = 64
@@ -332,35 +332,45 @@ def _compared(fetched: DataFrame, length: int, batch_bytes: int = 1 << 20) -> Da
 
 
 def find_repeats(docs: DataFrame, length: int = 400, group_limit: int = 1000) -> DataFrame:
-    """(t1, t2, runs): per distinct text, runs [first, last] of starts of strings that occur elsewhere too."""
+    """(t1, t2, runs): per distinct text, runs [first, last] of starts of strings that occur elsewhere too.
+
+    Aggregates are written before the joins that read them: Spark splits a hot
+    key only between plain exchanges. What no later step reads is dropped.
+    """
     raw = scratch(_segments(docs, length), "segments")
-    shared = raw.groupBy(F.col("h").alias("_h")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    raw = raw.join(shared, F.col("h") == F.col("_h"), "left_semi")
+    shared = scratch(raw.groupBy(F.col("h").alias("_h")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h"), "anchors")
+    met = raw.join(shared, F.col("h") == F.col("_h"), "left_semi")
     keys = ["hi", "place", "h", "s1", "s2", "did"]
-    once = scratch(raw.groupBy("t1", "t2", "lo").agg(F.count(F.lit(1)).alias("c"), *[F.min(k).alias(k) for k in keys]), "places")
+    once = scratch(met.groupBy("t1", "t2", "lo").agg(F.count(F.lit(1)).alias("c"), *[F.min(k).alias(k) for k in keys]), "places")
+    drop_scratch(raw, shared)
     where = ["h", "t1", "t2", "did", "lo", "hi", "place"]
     segments = once.groupBy("s1", "s2").agg(F.sum("c").alias("n"), *[F.first(k).alias(k) for k in where])
     segments = scratch(segments, "distinct")
-    crowd = segments.groupBy(F.col("h").alias("_h")).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    crowd = scratch(segments.groupBy(F.col("h").alias("_h")).agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "crowds")
     detail = segments.join(crowd, F.col("h") == F.col("_h"))
     wanted = F.struct("lo", "hi", "place", "h", "s1", "s2", "n", "m")
     needs = detail.groupBy(F.col("t1").alias("k1"), F.col("t2").alias("k2"), "did").agg(F.collect_list(wanted).alias("wanted"))
-    local = _compared(_fetched(docs, needs, length, group_limit), length)
+    fetched = scratch(_fetched(docs, needs, length, group_limit), "edges")
+    local = _compared(fetched, length)
     settled = segments.where("n > 1").select("s1", "s2", F.lit(0).alias("a"), (F.col("hi") - F.col("lo")).alias("b"))
     marks = scratch(settled.unionByName(local), "marks")
+    drop_scratch(segments, crowd, fetched)
     runs = once.select("t1", "t2", "lo", "s1", "s2").join(marks, ["s1", "s2"])
     run = F.struct((F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b")).alias("b"))
-    return runs.groupBy(F.col("t1").alias("k1"), F.col("t2").alias("k2")).agg(F.collect_list(run).alias("runs"))
+    runs = scratch(runs.groupBy(F.col("t1").alias("k1"), F.col("t2").alias("k2")).agg(F.collect_list(run).alias("runs")), "runs")
+    drop_scratch(once, marks)
+    return runs
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, group_limit: int = 1000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, group_limit: int = 1000, choose: Callable | None = None) -> DataFrame:
     """The columns of ``docs`` but the text, with ``removed`` ([first, end) byte runs), ``kept`` (bytes) and ``n_bytes``.
 
     A byte goes if a string of ``length`` bytes over it also starts anywhere
     else, in the same text or another; all is judged on the input. Null text
     counts as empty; texts shorter than ``length`` stay whole; equal texts
     (repeated rows too) repeat each other; null doc_ids are allowed; an empty
-    table gives no rows. Columns of these names are replaced.
+    table gives no rows. Columns of these names are replaced. ``choose`` gets a
+    text's bytes and its runs, and gives the runs that are cut.
     """
     rest = [c for c in docs.columns if c not in ("text", "removed", "kept", "n_bytes")]
     more = T._parse_datatype_string("removed array<array<int>>, kept binary, n_bytes long").fields
@@ -371,6 +381,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, group_limit: int = 1000)
             removed, kept, size = [], [], []
             for v, runs in zip(views(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 spans = spans_of([(r["a"], r["b"]) for r in runs or []], length)
+                if choose and spans:
+                    spans = choose(v, spans)
                 removed.append(spans)
                 kept.append(without(v, spans))
                 size.append(len(v))
@@ -406,22 +418,33 @@ def with_digests(removed: DataFrame) -> DataFrame:
     )
 
 
-def trim_documents(docs: DataFrame, length: int = 400) -> DataFrame:
-    """Documents without their repeated strings, with the columns of ``docs``.
-
-    Texts without repeats stay as they are (null too). A cut inside a character
-    drops what is left of that character.
+def passages(text, spans: list[list[int]], least_words: int, least_bytes: int) -> list[list[int]]:
+    """The runs with ``least_words`` words or ``least_bytes`` bytes, widened to whole characters; overlapping ones are one."""
+    chosen = []
+    for a, b in spans:
+        if b - a < least_bytes and len(bytes(text[a:b]).split()) < least_words:
+            continue
+        while a > 0 and text[a] & 0xC0 == 0x80:
+            a -= 1
+        while b < len(text) and text[b] & 0xC0 == 0x80:
+            b += 1
+        chosen.append((a, b - 1))
+    return [[a, b + 1] for a, b in merge(chosen)]
+
+
+def trim_documents(docs: DataFrame, length: int = 240, least_words: int = 50, least_bytes: int = 400) -> DataFrame:
+    """Documents without their repeated passages, with the columns of ``docs``.
+
+    A passage is a run of repeated strings of ``length`` bytes that has
+    ``least_words`` words, or ``least_bytes`` bytes where words are longer or
+    not parted. Texts without one stay as they are (null too). A cut inside a
+    character takes the whole character.
     """
     renamed = docs.withColumn("_text", F.col("text"))
-    out = remove_repeats(renamed, length)
+    out = remove_repeats(renamed, length, choose=lambda text, spans: passages(text, spans, least_words, least_bytes))
     cut = F.size("removed") > 0
-    out = out.withColumn("text", F.when(cut, F.regexp_replace(text_of("kept"), "�", "")).otherwise(F.col("_text")))
+    out = out.withColumn("text", F.when(cut, F.col("kept").cast("string")).otherwise(F.col("_text")))
     if "n_chars" in docs.columns:
         size = F.when(cut, F.length("text")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", size.cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
-
-
-def text_of(column: str):
-    """Bytes as text; what is not UTF-8 becomes U+FFFD."""
-    return F.make_valid_utf8(F.col(column).cast("string"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -91,6 +92,29 @@ def test_suffix_trim(docs, rows):
     assert short[3] == "one"
 
 
+def test_suffix_trim_cuts_passages_only(spark):
+    rnd = random.Random(11)
+    own = lambda n: " ".join("".join(rnd.choice("abcdefghé\ufffd") for _ in range(rnd.randrange(2, 9))) for _ in range(n))
+    passage, line, mark = own(55), own(20), "\u00e9" * 300
+    texts = [f"{own(60)} {passage} {own(60)}", f"{own(9)} {passage} {own(80)}", f"{own(60)} {line} {own(60)}", f"{own(30)} {line}", f"{own(40)}X{mark}Y{own(40)}", f"{own(30)}\u00e8{mark}\u00e8{own(30)}", own(70)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in suffix.trim_documents(df).collect()}
+    assert all(got[i] == texts[i] for i in (2, 3, 6))
+    for i in (0, 1):
+        left = texts[i].replace(passage, "")
+        assert passage not in got[i] and len(left) - 4 <= len(got[i]) <= len(left)
+        assert got[i].count("\ufffd") >= left.count("\ufffd") - 2
+    assert got[4].count("\u00e9") == texts[4].replace(mark, "").count("\u00e9") and "XY" in got[4]
+    assert got[5].count("\u00e8") == 1  # the first byte of the second is part of a repeat
+
+
+def test_suffix_trim_takes_whole_characters():
+    text = "a\ufffdéb".encode()  # a, 3 bytes, 2 bytes, b
+    assert suffix.passages(text, [[2, 5]], 1, 1) == [[1, 6]]
+    assert suffix.passages(text, [[0, 1], [2, 3]], 1, 1) == [[0, 4]]
+    assert suffix.passages(text, [[0, 1]], 2, 2) == []
+
+
 def brute_print(text):
     w = words((text or "").translate(LOWER))
     if not w:
@@ -221,6 +245,23 @@ def test_encoder_splits_as_the_tokenizer():
         at = end
 
 
+def test_encoder_tells_words_of_one_hash_apart():
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    whole = tokenizers.Tokenizer.from_file(path)
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    one, two = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))  # equal under any polynomial modulo 2^64
+    want = [[*whole.encode(t, add_special_tokens=False).ids, 0] for t in (one, two)]
+    assert want[0] != want[1]
+    for batches in ([[one, two, one]], [[one], [two], [one]], [[two, "x"], [one, two]]):
+        encode = packing.Encoder(path)
+        for texts in batches:
+            ids, ends = encode(texts)
+            at = 0
+            for text, end in zip(texts, ends.tolist(), strict=True):
+                assert ids[at:end].tolist() == [*whole.encode(text, add_special_tokens=False).ids, 0]
+                at = end
+
+
 def test_packing_gives_added_tokens_their_ids(spark):
     path = str(public_tokenizers.path("byte_bpe_50k.json"))
     whole = tokenizers.Tokenizer.from_file(path)
@@ -331,32 +372,77 @@ def test_kneser_ney(spark):
     assert kneserney.classify(df.limit(0), labels).count() == 0
 
 
+def brute_sentences(text):
+    """One character after the other: a cut stands after the white space that follows an end or a line's end."""
+    out, own, ended = [], "", False
+    for i, c in enumerate(text):
+        if ended and not c.isspace():
+            out.append(own)
+            own, ended = "", False
+        own += c
+        before = text[:i].rstrip("\"')]")
+        ended = ended or c == "\n" or (c.isspace() and before[-1:] in (".", "!", "?") and not text[i - 1].isspace())
+    return out + [own] * bool(own)
+
+
+def brute_spans(rows, least):
+    """(doc_id, text, sentences, removed) of every row, the first of a kind staying."""
+    seen, out = set(), []
+    for doc_id, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        parts = brute_sentences(text or "")
+        bare, gone = [p.strip() for p in parts], set()
+        spans = []
+        for i in range(len(parts)):
+            j = next((j for j in range(i, len(parts) + 1) if len(" ".join(bare[i:j]).split()) >= least), None)
+            if j is not None:
+                spans.append((i, j))
+        if not spans and "".join(bare):
+            spans = [(0, len(parts))]
+        for i, j in spans:
+            key = tuple(bare[i:j])
+            if key in seen:
+                gone |= set(range(i, j))
+            seen.add(key)
+        out.append((doc_id, "".join(p for i, p in enumerate(parts) if i not in gone) if gone else text, len(parts), len(gone)))
+    return Counter(out)
+
+
 def test_spans(spark):
     shared = "First shared sentence here. Second shared one follows! Third closes it? Fourth too."
     rows = [(2, "Intro. " + shared + " Own end of two."), (1, "Other start. " + shared + "\nOwn end of one."), (None, shared), (4, None), (5, ""), (6, "a. b."), (7, "x. y. z. x. y. z.")]
-    rows += [(1, rows[1][1])]
+    rows += [(8, "a.   b."), (9, " \n "), (10, shared.replace(" ", "\n")), (11, "One sentence of more words than eight that all stand here alone. Short."), (12, "Before. One sentence of more words than eight that all stand here alone.")]
+    rows += [(100 + i, f"Lead {i}. " + shared[i:] + f" Tail {i} of its own.") for i in range(12)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_removed int")
-    got = [(r.doc_id, r.text) for r in spans.remove_repeated_spans(df).collect()]
-    texts = defaultdict(list)
-    for k, t in got:
-        texts[k].append(t)
-    assert texts[2] == ["Intro. Own end of two."] and texts[None] == [""] and texts[4] == [None] and texts[5] == [""]
-    assert sorted(texts[1]) == sorted([rows[1][1], ""]) and texts[6] == ["a. b."] and texts[7] == ["x. y. z. "]
+    for least in (8, 1, 30):
+        got = spans.remove_repeated_spans(df, least).collect()
+        assert Counter((r.doc_id, r.text, r.n_sentences, r.n_removed) for r in got) == brute_spans(rows, least)
+    twice = spark.createDataFrame([(1, shared), (1, shared)], "doc_id long, text string")
+    assert sorted(r.text for r in spans.remove_repeated_spans(twice).collect()) == ["", shared]
     for t in (b"", b"a", b"A b. C d!\n\nE\n f?  ", b"...", b"\n"):
         assert b"".join(t[a:b] for a, b in spans.sentences(t)) == t
 
 
+def test_sentences_of_long_runs_of_signs():
+    for t in (b"." * 300_000, b" " * 300_000, b".)" * 150_000, b"\n" * 300_000):
+        began = time.process_time()
+        assert sum(b - a for a, b in spans.sentences(t + b"x")) == len(t) + 1
+        assert time.process_time() - began < 2
+
+
 def test_sql_of_spans_agrees(spark):
     duckdb = pytest.importorskip("duckdb")
     rnd = random.Random(12)
     parts = ["One here. ", "Two (there)!\n", "Three?\n\n ", "four \" a.b ", "Fünf.) ", "...", " \t\x0b\f\r", "6! ", "\n"]
-    own = [(i, "".join(rnd.choice(parts) for _ in range(rnd.randrange(12)))) for i in range(150)] + [(None, "".join(parts)), (200, None), (201, "".join(parts))]
+    parts += [f"a sentence of just nine words with number {i}. " for i in range(3)]
+    own = [(i, "".join(rnd.choice(parts) for _ in range(rnd.randrange(24)))) for i in range(200)] + [(None, "".join(parts)), (200, None), (201, "".join(parts))]
     df = spark.createDataFrame(own, "doc_id long, text string").repartition(3)
     con = duckdb.connect()
     con.register("documents", df.toArrow())
     found = con.execute(sql.SENTENCE_SPANS)
     columns = [c[0] for c in found.description]
-    assert Counter(found.fetchall()) == Counter(map(tuple, spans.remove_repeated_spans(df).select(*columns).collect()))
+    rows = found.fetchall()
+    assert sum(r[columns.index("n_removed")] > 0 for r in rows) > 20
+    assert Counter(rows) == Counter(map(tuple, spans.remove_repeated_spans(df).select(*columns).collect()))
 
 
 def test_sharding(docs, rows):
