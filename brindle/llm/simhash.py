@@ -5,6 +5,11 @@ their 32-bit halves. So each half is a table key, and each fingerprint looks up
 its Hamming ball of radius 1 there (33 keys a half); what meets in a bucket is
 verified on all 64 bits. Equal fingerprints count once. A bucket returns a
 spanning forest of its links, never all pairs.
+
+``keep_one`` looks farther: five-word shingles of similarity 0.8 differ in
+about 58 of 384 bits. Its fingerprints have 13 segments of 28 bits; every
+fingerprint is entered under its whole ball of radius 1 in each segment, so two
+meet where a segment differs by 2 bits or fewer.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.llm.common import ddl_name, drop_scratch, scratch, sliced, text_bytes, views
 
@@ -24,11 +30,11 @@ _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 SEED = 42
 
 
-def fingerprint(text: bytes, width: int = 3) -> int:
-    """A bit is 1 if set in over half the hashes of the ``width``-word shingles, repeats included."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """The hashes of the ``width``-word shingles, repeats included; fewer words are one shingle."""
     words = text.translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = memoryview(b" ".join(words))
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(sizes + 1) - 1
@@ -37,7 +43,12 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     else:
         lo, hi = [0], [len(joined)]
     h = xxhash.xxh64_intdigest
-    hashes = np.array([h(joined[a:b], SEED) for a, b in zip(lo, hi, strict=True)], dtype="<u8")
+    return np.array([h(joined[a:b], SEED) for a, b in zip(lo, hi, strict=True)], dtype="<u8")
+
+
+def fingerprint(text: bytes, width: int = 3) -> int:
+    """A bit is 1 if set in over half the hashes of the ``width``-word shingles, repeats included."""
+    hashes = shingle_hashes(text, width)
     total = np.zeros(64, dtype=np.int64)
     for k in range(0, len(hashes), 4096):
         bits = np.unpackbits(hashes[k : k + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -45,11 +56,31 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * total > len(hashes), bitorder="little").tobytes(), "little")
 
 
+#: Words of a wide fingerprint, its segments, and the bits of each.
+WORDS, SEGMENTS, SEGMENT_BITS = 6, 13, 28
+NAMES = [f"w{k}" for k in range(WORDS)]
+
+
+def wide_fingerprint(text: bytes, width: int = 5) -> np.ndarray:
+    """WORDS * 64 bits; each shingle's hash is mixed anew for each word."""
+    hashes = shingle_hashes(text, width)
+    seeds = np.arange(1, 2 * WORDS, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    total = np.zeros(64 * WORDS, dtype=np.int64)
+    for k in range(0, len(hashes), 255):
+        x = hashes[k : k + 255, None] + seeds
+        x ^= x >> np.uint64(30)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        bits = np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little")
+        total += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")
+
+
 def with_fingerprints(docs: DataFrame, width: int = 3, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (default doc_id) and ``fingerprint`` as a signed long. Null text has no words: 0."""
     keep = keep or ["doc_id"]
-    from pyspark.sql import types as T
-
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("fingerprint", T.LongType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +237,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         # Large star: greater neighbours of each node go to its least neighbour or itself.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # The least ones are written first, so that Spark can split the edges of a centre.
+        least = scratch(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Small star: smaller neighbours and the node itself go to the least of them.
         low = large.distinct()
@@ -217,7 +249,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         )
         new = scratch(small.where("a <> b").distinct(), "links")
         state = new.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        drop_scratch(edges)
+        drop_scratch(edges, least)
         edges = new
         if before == state:
             break
@@ -250,23 +282,122 @@ def near_duplicates(docs: DataFrame, width: int = 3, limit: int = 3, extra: list
     return joined.select(*keep, digits("fingerprint").alias("fingerprint"), "component_id", digits("_root").alias("component"))
 
 
-def keep_one(docs: DataFrame, width: int = 3, limit: int = 3) -> DataFrame:
+def _segments(prints: np.ndarray) -> np.ndarray:
+    """The segments of each row of words, as numbers."""
+    bits = np.unpackbits(prints.view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
+    bits = bits[:, : SEGMENTS * SEGMENT_BITS].reshape(len(prints), SEGMENTS, SEGMENT_BITS)
+    return bits @ (1 << np.arange(SEGMENT_BITS, dtype=np.int64))
+
+
+def spanning_links(ids: np.ndarray, prints: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links within a bucket.
+
+    The first member not yet reached is compared with all others not yet
+    reached; those within ``limit`` bits are reached, and each has its turn
+    before the next member starts a tree. A dense group takes a few turns, not
+    all pairs; memory is in proportion to the bucket.
+    """
+    order = np.argsort(ids)
+    ids, prints = ids[order], prints[order]
+    rest, out = np.arange(len(ids)), []
+    while len(rest):
+        turn, rest = [rest[0]], rest[1:]
+        while turn and len(rest):
+            pivot = turn.pop()
+            near = np.bitwise_count(prints[rest] ^ prints[pivot]).sum(axis=1) <= limit
+            if near.any():
+                met = rest[near]
+                out += [(int(ids[pivot]), int(ids[i])) for i in met]
+                turn += met.tolist()
+                rest = rest[~near]
+    return out
+
+
+def wide_links(prints: DataFrame, limit: int) -> DataFrame:
+    """Links (a, b) between the ids of fingerprints at ``limit`` bits or fewer that meet in a bucket, enough to connect them.
+
+    ``prints`` has an ``id`` and the words of distinct fingerprints. Each row
+    gives SEGMENTS * (SEGMENT_BITS + 1) rows, sorted by key in the JVM; a task
+    holds one bucket at a time.
+    """
+
+    def enumerate_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flips = np.concatenate([[0], 1 << np.arange(SEGMENT_BITS)])
+        table = np.arange(SEGMENTS, dtype=np.int64)[None, :, None] << SEGMENT_BITS
+        for batch in sliced(batches, 512):
+            words = [c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]
+            keys = table | (_segments(np.stack(words, axis=1))[:, :, None] ^ flips)
+            take = np.repeat(np.arange(batch.num_rows), keys[0].size)
+            cols = [c.to_numpy(zero_copy_only=False)[take] for c in batch.columns]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), *cols)], names=["key", "id", *NAMES])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(members: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+            ids, rows = (np.concatenate(x) for x in zip(*members, strict=True))
+            return spanning_links(ids, rows, limit) if len(ids) > 1 else []
+
+        open_key, members = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            edges = np.flatnonzero(np.diff(keys)) + 1
+            starts, ends = np.append(0, edges), np.append(edges, len(keys))
+            # Buckets of one fingerprint need no look: only the first and last of a batch, and longer ones.
+            look = np.flatnonzero((ends - starts > 1) | (starts == 0) | (ends == len(keys)))
+            words, found = [c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]], []
+            for i in look.tolist():
+                at = slice(starts[i], ends[i])
+                if (key := int(keys[starts[i]])) != open_key:
+                    if members:
+                        found += close(members)
+                    open_key, members = key, []
+                members.append((ids[at], np.stack([w[at] for w in words], axis=1).view(np.uint64)))
+            if found:
+                yield _links(found)
+        if members and (found := close(members)):
+            yield _links(found)
+
+    words = ", ".join(f"{n} long" for n in NAMES)
+    keys = prints.select("id", *NAMES).mapInArrow(enumerate_keys, f"key long, id long, {words}")
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keys.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long")
+
+
+def keep_one(docs: DataFrame, width: int = 5, limit: int = 66) -> DataFrame:
     """One document of each component, the one with the least doc_id, with the columns of ``docs``.
 
-    A document is known by 128 bits over its text and id; of rows that share
-    both, one stays. The texts are shuffled once and not copied.
+    66 of 384 bits stand for a similarity of about 0.77, so that few pairs of
+    0.8 or more are missed. A document is known by 128 bits over its text and
+    id; of rows that share both, one stays. Documents without words are equal;
+    null text counts as empty; an empty table gives no rows. The texts are
+    shuffled once and not copied.
     """
     raw = text_bytes()
     keyed = docs.select(
         F.struct(*[F.col(ddl_name(c)) for c in docs.columns]).alias("_doc"),
         "doc_id",
-        "text",
+        raw.alias("_bytes"),
         F.xxhash64(raw).alias("_k1"),
         F.xxhash64(F.lit("second"), raw, F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("_k2"),
     )
-    grouped = near_duplicates(keyed, width, limit, ["_k1", "_k2"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            prints = np.stack([wide_fingerprint(bytes(v), width) for v in views(batch.column(3))]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(x) for x in prints.T.copy()]], names=["doc_id", "_k1", "_k2", *NAMES])
+
+    schema = T.StructType([keyed.schema[c] for c in ("doc_id", "_k1", "_k2")] + [T.StructField(n, T.LongType()) for n in NAMES])
+    prints = scratch(keyed.select("doc_id", "_k1", "_k2", "_bytes").mapInArrow(work, schema), "simhash")
+    distinct = scratch(prints.select(*NAMES).distinct().withColumn("id", F.monotonically_increasing_id()), "fingerprints")
+    roots = components(wide_links(distinct, limit))
+    root = F.coalesce("root", "id").alias("_root")
+    by_print = distinct.join(roots, F.col("id") == F.col("node"), "left").select(*[F.col(n).alias(f"_{n}") for n in NAMES], root)
+    by_print = scratch(by_print, "components")
+    grouped = prints.join(by_print, [F.col(n) == F.col(f"_{n}") for n in NAMES])
     first = F.min_by(F.struct("_k1", "_k2"), F.struct(F.col("doc_id").isNull(), "doc_id", "_k1", "_k2"))
-    best = grouped.groupBy("component").agg(first.alias("_best")).select("_best.*")
-    chosen = keyed.drop("doc_id", "text").join(best, ["_k1", "_k2"], "left_semi")
+    best = scratch(grouped.groupBy("_root").agg(first.alias("_best")).select("_best.*"), "chosen")
+    drop_scratch(prints, distinct, by_print)
+    chosen = keyed.select("_doc", "_k1", "_k2").join(best, ["_k1", "_k2"], "left_semi")
     one = F.row_number().over(W.partitionBy("_k1", "_k2").orderBy(F.xxhash64("_doc")))
     return chosen.withColumn("_n", one).where("_n = 1").select("_doc.*")

@@ -143,7 +143,87 @@ def test_simhash(docs, rows):
     want = Counter((r[0], f"{p:016x}", least[c]) for r, p, c in zip(rows, prints, roots, strict=True))
     got = simhash.near_duplicates(docs).collect()
     assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got) == want
-    assert simhash.keep_one(docs).count() == len(set(roots))
+
+
+def brute_wide(text, width=5):
+    """Bit after bit: the shingles' hashes, mixed for each of six words."""
+    w = words((text or "").translate(LOWER))
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + width]).encode(), 42) for i in range(max(1, len(w) - width + 1))]
+    out, full = 0, (1 << 64) - 1
+    for k in range(6):
+        mixed = []
+        for x in h:
+            x = (x + (2 * k + 1) * 0x9E3779B97F4A7C15) & full
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+            x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+            mixed.append(x ^ x >> 31)
+        out |= sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in mixed) > len(h)) << 64 * k
+    return out
+
+
+def brute_kept(keys, texts, limit=66):
+    """Keys of the first of each component: links at ``limit`` bits that share a segment but for 2 bits."""
+    prints = [brute_wide(t) for t in texts]
+    forest = simhash.Forest(len(prints))
+    for i, a in enumerate(prints):
+        for j in range(i):
+            x = a ^ prints[j]
+            if x.bit_count() <= limit and any((x >> 28 * k & (1 << 28) - 1).bit_count() <= 2 for k in range(13)):
+                forest.join(i, j)
+    best = {}
+    for i, k in enumerate(keys):
+        r = forest.root(i)
+        best[r] = min(best.get(r, (True, 0)), (k is None, k or 0))
+    return Counter(None if n else k for n, k in best.values())
+
+
+def edited(rnd, text, share):
+    return " ".join(rnd.choice(["new", "other", "word", "x"]) if rnd.random() < share else w for w in text.split())
+
+
+def test_keep_one(spark, docs, rows):
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns
+    assert Counter(r.doc_id for r in got.collect()) == brute_kept([r[0] for r in rows], [r[1] for r in rows])
+    rnd = random.Random(21)
+    base = [" ".join(f"w{rnd.randrange(5000)}" for _ in range(rnd.choice([6, 40, 150, 400]))) for _ in range(60)]
+    own = base + [edited(rnd, t, rnd.choice([0, 0.01, 0.02, 0.04])) for t in base * 4] + [base[0]] * 5 + ["", None, "a b"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(own)] + [(3, own[3], "x")], "doc_id long, text string, w0 string")
+    got = simhash.keep_one(df.repartition(6))
+    assert Counter(r.doc_id for r in got.collect()) == brute_kept([*range(len(own)), 3], [*own, own[3]])
+    assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_keep_one_joins_similar_texts():
+    """Pairs of five-word similarity 0.8 or more are linked: by segments and limit, over random edits."""
+    rnd, met, all_ = random.Random(33), 0, 0
+    for _ in range(400):
+        a = [f"w{rnd.randrange(9000)}" for _ in range(300)]
+        b = edited(rnd, " ".join(a), 0.02).split()
+        x, y = (set(zip(*(t[k:] for k in range(5)), strict=False)) for t in (a, b))
+        if len(x & y) < 0.8 * len(x | y):
+            continue
+        p, q = (simhash.wide_fingerprint(" ".join(t).encode())[None, :] for t in (a, b))
+        near = np.bitwise_count(simhash._segments(p.copy()) ^ simhash._segments(q.copy())).min() <= 2
+        all_ += 1
+        met += bool(near and np.bitwise_count(p ^ q).sum() <= 66)
+    assert all_ > 100 and met >= 0.9 * all_
+
+
+def test_spanning_links_connect_what_is_near():
+    rnd = np.random.default_rng(5)
+    base = rnd.integers(0, 2**63, (30, 6), dtype=np.uint64)
+    rows = np.concatenate([base ^ (np.uint64(1) << rnd.integers(0, 64, base.shape).astype(np.uint64)) for _ in range(20)])
+    rows = rows[rnd.permutation(len(rows))]
+    forest, want = simhash.Forest(len(rows)), simhash.Forest(len(rows))
+    links = simhash.spanning_links(np.arange(len(rows)), rows, 12)
+    assert all(forest.join(a, b) for a, b in links)
+    for i in range(len(rows)):
+        for j in np.flatnonzero(np.bitwise_count(rows ^ rows[i]).sum(axis=1) <= 12).tolist():
+            want.join(i, j)
+    assert [forest.root(i) for i in range(len(rows))] == [want.root(i) for i in range(len(rows))]
 
 
 def test_fingerprint_links(spark):
@@ -502,7 +582,7 @@ def test_isotonic_is_monotone():
 def test_empty_tables(nothing):
     path = str(public_tokenizers.path("byte_bpe_50k.json"))
     for out in (
-        suffix.remove_repeats(nothing), simhash.near_duplicates(nothing), packing.pack(nothing, path), quality.judge(nothing),
+        suffix.remove_repeats(nothing), simhash.near_duplicates(nothing), simhash.keep_one(nothing), packing.pack(nothing, path), quality.judge(nothing),
         sharding.shard_documents(nothing), spans.remove_repeated_spans(nothing),
     ):
         assert out.count() == 0
