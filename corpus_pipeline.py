@@ -21,12 +21,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays."""
+    """One document of each group of copies and near copies (five-word shingles) stays."""
     return simhash.keep_one(docs.select(*COLUMNS))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that occur twice are cut out; the documents stay."""
+    """Passages of 50 words, or 400 bytes, that occur twice are cut out; the documents stay."""
     return suffix.trim_documents(docs.select(*COLUMNS))
 
 
@@ -48,7 +48,7 @@ STAGES = [
     ("harmonic_packing", harmonic_packing),
 ]
 
-#: Fingerprints, byte runs and token ids have no form in SQL; a test compares the stages' row counts with their operators'.
+#: Fingerprints, byte runs and token ids have no form in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
