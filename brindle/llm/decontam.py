@@ -14,10 +14,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,22 +96,29 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str,
     yield block
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 8, block_bytes: int = 8 << 20) -> DataFrame:
+def find_contamination(
+    docs: DataFrame, benchmark: DataFrame, size: int = 8, block_bytes: int = 8 << 20, finish: Callable | None = None
+) -> DataFrame:
     """All columns of ``docs`` with n_words, ``hit_runs`` and ``items``.
 
     ``hit_runs`` are the merged runs of hit words, as [first, end) word numbers;
     ``items`` are the ids, as strings, of the items that occur, sorted. Null
     text has no words and nothing hits it; a null item id counts as ''; items
     without words have no windows; empty tables give no rows, or no hits.
-    Columns of these names are replaced. Equal rows stay equal.
+    Columns of these names are replaced. Equal rows stay equal. ``finish`` gets
+    the batches of the result, in the same worker, and gives those returned.
     """
+    finish = finish or (lambda batches: batches)
     docs = docs.drop("n_words", "hit_runs", "items")
     schema = T.StructType(
         [*docs.schema.fields, *T._parse_datatype_string("n_words long, hit_runs array<array<int>>, items array<string>").fields]
     )
     spark, found, held = docs.sparkSession, None, None
     names = [ddl_name(c) for c in docs.columns]
-    for block in _blocks(benchmark, block_bytes):
+    blocks = _blocks(benchmark, block_bytes)
+    block, following = next(blocks), next(blocks, None)
+    while block is not None:
+        last = (lambda batches: batches) if following is not None else finish
         vocabulary = {w for _, text in block for w in words_of(text)}
         counts = count_words(docs, vocabulary) if vocabulary else {}
         shared = spark.sparkContext.broadcast(prefix_table(block, counts, size))
@@ -130,19 +137,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 8, blo
                 cols = batch.columns[:-1] + more
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-        source = docs if found is None else found
-        part = source.select(*names, text_bytes().alias("_bytes")) if found is None else None
-        if part is not None:
-            found = part.mapInArrow(work, schema)
+        if found is None:
+            found = docs.select(*names, text_bytes().alias("_bytes")).mapInArrow(lambda x, work=work, last=last: last(work(x)), schema)
         else:
             earlier, held = held, scratch(found, "decontam")
             if earlier is not None:
                 drop_scratch(earlier)
-            found = _merge(held, work, names, schema)
+            found = _merge(held, work, names, schema, last)
+        block, following = following, next(blocks, None)
     return found
 
 
-def _merge(earlier: DataFrame, work, names: list[str], schema: T.StructType) -> DataFrame:
+def _merge(earlier: DataFrame, work, names: list[str], schema: T.StructType, last: Callable) -> DataFrame:
     """Another block of items over the same rows: its runs and items join those found so far."""
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +168,7 @@ def _merge(earlier: DataFrame, work, names: list[str], schema: T.StructType) ->
             cols = [*new.columns[: k + 1], pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return earlier.select(*names, "n_words", "hit_runs", "items", text_bytes().alias("_bytes")).mapInArrow(both, schema)
+    return earlier.select(*names, "n_words", "hit_runs", "items", text_bytes().alias("_bytes")).mapInArrow(lambda x: last(both(x)), schema)
 
 
 def with_digests(found: DataFrame, least: int = 2) -> DataFrame:
@@ -180,7 +186,7 @@ def with_digests(found: DataFrame, least: int = 2) -> DataFrame:
 
 def cut_runs(text: str | None, spans: list) -> str | None:
     """A text without the words of ``spans`` and what stands between them."""
-    if text is None or spans is None or not len(spans):
+    if text is None or not spans:
         return text
     raw = text.encode()
     places = [m.span() for m in WORD.finditer(raw.translate(_KEEP))]
@@ -198,13 +204,18 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, least: int = 2) -> Da
     A document with windows of ``least`` items or more goes; from the others the
     hit words are cut out. Documents without hits stay as they are.
     """
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([cut_runs(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
+    at = [c for c in docs.columns if c not in ("n_words", "hit_runs", "items")].index("text")
 
-    found = find_contamination(docs, benchmark).where(F.size("items") < least)
-    new = F.when(F.size("hit_runs") > 0, cut(F.when(F.size("hit_runs") > 0, F.col("text")), "hit_runs")).otherwise(F.col("text"))
-    found = found.withColumn("text", new)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pc.less(pc.list_value_length(batch.column("items")), least))
+            spans = batch.column("hit_runs").to_pylist()
+            texts = batch.column(at)
+            if any(spans):
+                texts = pa.array([cut_runs(t, s) for t, s in zip(texts.to_pylist(), spans, strict=True)], type=texts.type)
+            yield batch.set_column(at, batch.schema.field(at), texts)
+
+    found = find_contamination(docs, benchmark, finish=cut)
     if "n_chars" in docs.columns:
         size = F.when(F.size("hit_runs") > 0, F.length("text")).otherwise(F.col("n_chars"))
         found = found.withColumn("n_chars", size.cast(docs.schema["n_chars"].dataType))

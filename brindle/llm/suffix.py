@@ -33,7 +33,7 @@ from brindle.llm.common import ddl_name, drop_scratch, scratch, sliced, text_byt
 GRAM = 32
 BLOCK = 64
 _PLACE = 24
-_CHUNK = 1 << 22
+_CHUNK = 1 << 20
 DIVERSE = -1
 
 
@@ -288,7 +288,7 @@ def _fetched(docs: DataFrame, needs: DataFrame, length: int, group_limit: int) -
     return joined.mapInArrow(work, "g long, u1 long, u2 long, s1 long, s2 long, base int, starts int, n long, body binary")
 
 
-def _compared(fetched: DataFrame, length: int, batch_bytes: int = 1 << 20) -> DataFrame:
+def _compared(fetched: DataFrame, length: int, batch_bytes: int = 1 << 18) -> DataFrame:
     """(s1, s2, a, b): runs of starts, from each segment's first, that repeat."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
