@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Row
 from pyspark.sql.types import VariantVal
 
 from brindle.functions.predicates import Scope, where
+from brindle.metrics import Metrics
 from brindle.operators.project import project, sort_columns
 from brindle.plans.projections import parse_projection, parse_sort
 
@@ -13,8 +16,8 @@ from brindle.plans.projections import parse_projection, parse_sort
 class Find:
     """A query under construction; every step returns the query itself."""
 
-    def __init__(self, df: DataFrame, filter: dict | None = None, key: str = "_id"):
-        self._df, self._filter, self._key = df, filter or {}, key
+    def __init__(self, df: DataFrame, filter: dict | None = None, key: str = "_id", metrics: Metrics | None = None):
+        self._df, self._filter, self._key, self._metrics = df, filter or {}, key, Metrics() if metrics is None else metrics
         self._projection = self._sort = self._skip = self._limit = None
 
     def projection(self, doc: dict) -> Find:
@@ -50,12 +53,23 @@ class Find:
             df = df.limit(self._limit)
         return project(df, self._projection, self._key) if self._projection else df
 
-    def execute(self) -> list[dict]:
-        return [to_document(r) for r in self.frame().collect()]
+    def execute(self) -> Iterator[dict]:
+        """The documents, fetched partition by partition as they are asked for."""
+        self._metrics["sorts"] += bool(self._sort)
+        return self._fetched(self.frame())
+
+    def _fetched(self, df: DataFrame) -> Iterator[dict]:
+        with self._metrics.timed("find"):
+            for row in df.toLocalIterator(prefetchPartitions=True):
+                self._metrics["rows_returned"] += 1
+                yield to_document(row)
 
     def execute_one(self) -> dict | None:
-        rows = self.limit(1).execute()
-        return rows[0] if rows else None
+        self._metrics["sorts"] += bool(self._sort)
+        with self._metrics.timed("find_one"):
+            row = self.limit(1).frame().first()
+        self._metrics["rows_returned"] += row is not None
+        return None if row is None else to_document(row)
 
 
 def to_document(value):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.errors import InvalidRequest
-from brindle.functions.literals import INTEGERS, NUMBERS, common_type, literal, rank_of, rank_of_type, same_value, type_of
+from brindle.functions.literals import FLOATS, INTEGERS, NUMBERS, common_type, literal, rank_of, rank_of_type, same_value, type_of
 from brindle.functions.predicates import Scope, compile_filter, element_test
 from brindle.plans.filters import parse_filter
 from brindle.plans.updates import Push, Step, Update
@@ -167,8 +167,9 @@ def _leaf(step: Step, column: Column, kind: T.DataType) -> Typed:
         value = literal(arg, new)
         if isinstance(kind, T.NullType):
             return value, new
-        best = F.least if op == "$min" else F.greatest
-        return best(F.coalesce(fit(column, kind, new), value), value), new
+        own = F.coalesce(fit(column, kind, new), value)
+        takes = below(value, own, new) if op == "$min" else below(own, value, new)
+        return F.when(takes, value).otherwise(own), new
     if op == "$currentDate":
         if arg == "timestamp":
             kind = T._parse_datatype_string("struct<time: int, increment: int>")
@@ -180,6 +181,13 @@ def _leaf(step: Step, column: Column, kind: T.DataType) -> Typed:
     return _array_step(op, arg, column, kind)
 
 
+def below(a: Column, b: Column, kind: T.DataType) -> Column:
+    """a < b in the order of the language, in which NaN is the least number (Spark's greatest)."""
+    if isinstance(kind, FLOATS):
+        return ~F.isnan(b) & (F.isnan(a) | (a < b))
+    return a < b
+
+
 def _arithmetic(op: str, arg: Any, column: Column, kind: T.DataType) -> Typed:
     if isinstance(kind, T.NullType):
         new = type_of(arg)
@@ -267,15 +275,15 @@ def _push(arg: Push, own: Column, extra: Column, inner: T.DataType) -> Column:
 def _sorted(column: Column, order: Any, inner: T.DataType) -> Column:
     keys = [((), order)] if isinstance(order, int) else [(tuple(k.split(".")), way) for k, way in order]
 
-    def at(e: Column, path: tuple) -> Column:
-        return Scope.of_value(e, inner).resolve(path)[0] if path else e
+    def at(e: Column, path: tuple) -> Typed:
+        return Scope.of_value(e, inner).resolve(path) if path else (e, inner)
 
     def compare(a: Column, b: Column) -> Column:
         out = F.lit(0)
         for path, way in reversed(keys):
-            x, y = at(a, path), at(b, path)
-            less = F.when(x.isNull() & y.isNotNull(), True).otherwise(F.coalesce(x < y, F.lit(False)))
-            more = F.when(y.isNull() & x.isNotNull(), True).otherwise(F.coalesce(x > y, F.lit(False)))
+            (x, kind), (y, _) = at(a, path), at(b, path)
+            less = F.when(x.isNull() & y.isNotNull(), True).otherwise(F.coalesce(below(x, y, kind), F.lit(False)))
+            more = F.when(y.isNull() & x.isNotNull(), True).otherwise(F.coalesce(below(y, x, kind), F.lit(False)))
             out = F.when(less, F.lit(-way)).when(more, F.lit(way)).otherwise(out)
         return out
 

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import itertools
+import secrets
 import threading
 import time
-from collections import Counter
 from dataclasses import dataclass
 from enum import Enum
 from typing import Any, NamedTuple
@@ -28,9 +28,10 @@ from brindle.functions.predicates import Scope, compile_filter
 from brindle.operators.find import Find, to_document
 from brindle.operators.project import project, sort_columns
 from brindle.operators.update import apply_update, fit
-from brindle.plans.filters import equalities, parse_filter, parse_path
+from brindle.plans.filters import Compare, Field, equalities, parse_filter, parse_path
 from brindle.plans.projections import parse_projection, parse_sort
 from brindle.plans.updates import check_replacement, parse_update
+from brindle.metrics import Metrics
 from brindle.sources.storage import Store, Version, VersionedTable
 
 KEY = "_id"
@@ -50,24 +51,42 @@ class ReturnDocument(Enum):
 
 @dataclass(frozen=True)
 class Options:
-    """Settings of a database: Parquet compression and files after compaction."""
+    """Settings of a database: how Parquet files are written, and files after compaction.
+
+    ``bloom`` is the rate of false positives of a Bloom filter on the key in each
+    file (0: none); ``page_bytes`` and ``group_bytes`` are sizes of Parquet's
+    pages and row groups; ``keep_seconds`` is how long ``vacuum`` leaves what the
+    newest version does not need.
+    """
 
     compression: str = "zstd"
     compact_files: int = 8
+    bloom: float = 0.01
+    page_bytes: int = 1 << 20
+    group_bytes: int = 128 << 20
+    keep_seconds: float = 86_400.0
 
     def __post_init__(self) -> None:
         if self.compression not in ("none", "lz4_raw", "zstd", "snappy"):
             raise InvalidRequest(f"Unknown compression: {self.compression}")
-        if self.compact_files < 1:
-            raise InvalidRequest("compact_files must be positive")
+        if min(self.compact_files, self.page_bytes, self.group_bytes) < 1:
+            raise InvalidRequest("Numbers of files and sizes must be positive")
+        if not 0 <= self.bloom < 1 or self.keep_seconds < 0:
+            raise InvalidRequest("bloom is a rate below 1, keep_seconds not negative")
 
     @classmethod
     def optimized(cls) -> Options:
-        return cls("zstd", 64)
+        return cls("zstd", 64, 0.005)
 
     @classmethod
     def high_query_load(cls) -> Options:
-        return cls("lz4_raw", 256)
+        return cls("lz4_raw", 256, 0.001, 256 << 10)
+
+    def writer(self) -> dict[str, str]:
+        out = {"compression": self.compression, "parquet.page.size": str(self.page_bytes), "parquet.block.size": str(self.group_bytes)}
+        if self.bloom:
+            out |= {f"parquet.bloom.filter.enabled#{KEY}": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.fpp": str(self.bloom)}
+        return out
 
 
 @dataclass(frozen=True)
@@ -118,13 +137,17 @@ class Picked(NamedTuple):
         return self.row[KEY]
 
 
-_lock, _counter = threading.Lock(), itertools.count()
+_lock, _counter = threading.Lock(), itertools.count(secrets.randbits(22))
 
 
 def new_id() -> int:
-    """A 64-bit integer that grows with time and is not given twice by this process."""
+    """A 64-bit integer that grows with time: milliseconds, then a counter that starts at random in each process.
+
+    Two processes give the same only by chance within one millisecond; an insert
+    finds that and takes new ones.
+    """
     with _lock:
-        return (int(time.time() * 1000) << 20) | (next(_counter) & 0xFFFFF)
+        return (int(time.time() * 1000) << 22) | (next(_counter) & 0x3FFFFF)
 
 
 class Database:
@@ -133,7 +156,7 @@ class Database:
     def __init__(self, spark: SparkSession, root: str, options: Options | None = None):
         self.spark, self.root, self.options = spark, root.rstrip("/"), options or Options()
         self.store = Store(spark, f"{self.root}/catalog")
-        self.metrics: Counter[str] = Counter()
+        self.metrics = Metrics()
 
     def _catalog(self) -> tuple[int, dict]:
         at = self.store.latest("catalog-")
@@ -211,7 +234,8 @@ class Collection:
         own = self._entry(create)
         if own is None:
             return None
-        return VersionedTable(self.db.spark, f"{self.db.root}/collection-{own['id']}", self.db.options.compression)
+        paths = [KEY, *(path for index in own["indexes"] for path, _ in index["fields"])]
+        return VersionedTable(self.db.spark, f"{self.db.root}/collection-{own['id']}", self.db.options.writer(), paths)
 
     def drop(self) -> None:
         self.db.drop_collection(self.name)
@@ -246,8 +270,17 @@ class Collection:
             catalog["next"] += 1
 
         self.db._change(edit)
+        self._retry(self._measure)
         return name
 
+    def _measure(self) -> None:
+        """Zones of the files that were written before an index was created."""
+        table = self._table()
+        seen = table.version()
+        if seen.files and any(p not in z for p in table.paths for z in (seen.zones.get(f, {}) for f in seen.files)):
+            table._fresh |= table.measure(seen.files, seen.schema)
+            table.commit(seen, seen.schema, seen.rows, seen.files)
+
     def list_indexes(self) -> list[IndexInfo]:
         own = self._entry()
         return [IndexInfo(i["id"], i["name"], [tuple(f) for f in i["fields"]]) for i in own["indexes"]] if own else []
@@ -265,20 +298,27 @@ class Collection:
 
     # Reads
 
-    def frame(self, version: int | None = None) -> DataFrame:
-        """The collection as a DataFrame, at the newest version or at an older one."""
+    def frame(self, version: int | None = None, filter: dict | None = None) -> DataFrame:
+        """The collection as a DataFrame, at the newest version or at an older one.
+
+        With ``filter``, files whose zones rule its rows out are left out; the
+        rows are not filtered yet.
+        """
         table = self._table()
         seen = table.version(version) if table else Version(-1, None)
         if seen.schema is None:
             return self.db.spark.createDataFrame([], T.StructType([T.StructField(KEY, T.LongType())]))
-        return table.frame(seen)
+        tree = parse_filter(filter) if filter else None
+        files = table.files_for(seen, tree)
+        self.db.metrics.scanned(tree, len(files), len(seen.files))
+        return table.frame(seen, files)
 
     def version(self) -> int:
         return self._table().version().number
 
     def find(self, filter: dict | None = None) -> Find:
         self.db.metrics["reads"] += 1
-        return Find(self.frame(), filter, KEY)
+        return Find(self.frame(filter=filter), filter, KEY, self.db.metrics)
 
     def find_one(self, filter: dict | None = None, projection: dict | None = None, sort: dict | None = None) -> dict | None:
         query = self.find(filter)
@@ -316,7 +356,16 @@ class Collection:
         docs = list(docs)
         if not docs:
             return InsertManyResult([])
-        docs = self._with_ids(docs, IdStrategy(self._entry(create=True)["ids"]))
+        strategy = IdStrategy(self._entry(create=True)["ids"])
+        own = self._with_ids(docs, strategy)
+        try:
+            return self._insert(own)
+        except DuplicateKey:
+            if all(KEY in d for d in docs):
+                raise
+            return self._insert(self._with_ids(docs, strategy))  # a new id that another process has given, too
+
+    def _insert(self, docs: list[dict]) -> InsertManyResult:
         ids = [d[KEY] for d in docs]
         if len({repr(i) for i in ids}) < len(ids):
             raise DuplicateKey("An id is given twice")
@@ -324,31 +373,48 @@ class Collection:
         for d in docs[1:]:
             kind = common_type(kind, type_of(d))
         new = self.db.spark.createDataFrame([_as_row(d, kind) for d in docs], nullable(kind), verifySchema=False)
-        self.insert_frame(new, len(docs))
+        self.insert_frame(new)
         return InsertManyResult(ids)
 
-    def insert_frame(self, new: DataFrame, rows: int | None = None) -> int:
-        """Insert a DataFrame with an ``_id`` column: the way in for large data. All or nothing."""
+    def insert_frame(self, new: DataFrame) -> int:
+        """Insert a DataFrame with an ``_id`` column: the way in for large data. All or nothing.
+
+        The input is evaluated once: what was written is checked, against itself
+        and against the files in whose zones its keys lie, and then committed.
+        """
         table = self._table(create=True)
         seen = table.version()
-        if rows is None:
-            rows = new.count()
-            if new.groupBy(KEY).count().where("count > 1").limit(1).collect():
-                raise DuplicateKey("An id is given twice")
         schema = nullable(new.schema)
         if seen.schema is not None:
             schema = nullable(common_type(seen.schema, schema))
-            old = table.frame(seen)
-            if seen.rows and old.select(KEY).join(new.select(KEY), KEY, "left_semi").limit(1).collect():
-                raise DuplicateKey("An id is in the collection already")
         shaped = new.select(*[
             (fit(F.col(f"`{f.name}`"), new.schema[f.name].dataType, f.dataType) if f.name in new.columns else F.lit(None).cast(f.dataType)).alias(f.name)
             for f in schema
         ])
-        table.append(seen, shaped, rows, schema)
+        files = table.write(shaped)
+        try:
+            rows = self._check_new(table, seen, table.frame(Version(-1, schema, 0, files)))
+        except Exception:
+            table.discard(files)
+            raise
+        table.commit(seen, schema, seen.rows + rows, seen.files + files)
         self.db.metrics["documents_written"] += rows
         return rows
 
+    def _check_new(self, table: VersionedTable, seen: Version, written: DataFrame) -> int:
+        own = written.agg(F.count(F.lit(1)).alias("n"), F.count(KEY).alias("keys"), F.min(KEY).alias("lo"), F.max(KEY).alias("hi")).first()
+        if own["keys"] < own["n"]:
+            raise InvalidRequest("A document needs an _id that is not null")
+        if own["n"] > 1 and written.groupBy(KEY).count().where("count > 1").limit(1).collect():
+            raise DuplicateKey("An id is given twice")
+        if own["n"] and seen.rows:
+            ordered = isinstance(own["lo"], int | float | str) and own["lo"] == own["lo"] and own["hi"] == own["hi"]
+            tree = Field((KEY,), (Compare("ge", own["lo"]), Compare("le", own["hi"]))) if ordered else None
+            near = table.frame(seen, tree=tree)
+            if near.select(KEY).join(written.select(KEY), KEY, "left_semi").limit(1).collect():
+                raise DuplicateKey("An id is in the collection already")
+        return own["n"]
+
     # Updates and deletes
 
     def _retry(self, work):
@@ -375,24 +441,30 @@ class Collection:
         table = self._table(create=upsert)
         seen = table.version() if table else Version(-1, None)
         tree = parse_filter(filter)
-        df = table.frame(seen) if seen.schema is not None else None
-        before, matched = None, 0
+        df = table.frame(seen, tree=tree) if seen.schema is not None else None
+        before, hits = None, {}
         if df is not None:
             if one:
                 before = self._pick(df, filter, sort)
-                matched = int(before is not None)
-            else:
-                matched = df.where(compile_filter(tree, Scope.of_frame(df, KEY))).count()
+            if before or not one:
+                hit, near = self._hit(before, tree, df)
+                hits = table.hits(seen, hit, near)
+        matched = sum(hits.values())
         if not matched:
             if not upsert:
                 return UpdateResult(0, 0), None, None
             doc_id = self._upsert(tree, update)
             return UpdateResult(0, 0, doc_id), None, doc_id
-        hit = F.col(KEY) == F.lit(before.key) if one else compile_filter(tree, Scope.of_frame(df, KEY), bare=False)
-        table.rewrite(seen, hit, lambda part: apply_update(part, update, hit, KEY))
+        table.rewrite(seen, hits, lambda part: apply_update(part, update, hit, KEY))
         self.db.metrics["documents_written"] += matched
         return UpdateResult(matched, matched), before, before.key if one else None
 
+    def _hit(self, before: Picked | None, tree, df: DataFrame):
+        """The predicate of the rows to change, and a filter that their files' zones are held against."""
+        if before is not None:
+            return F.col(KEY) == F.lit(before.key), Field((KEY,), (Compare("eq", before.key),))
+        return compile_filter(tree, Scope.of_frame(df, KEY), bare=False), tree
+
     def _upsert(self, tree, update) -> Any:
         base: dict = {}
         for path, value in equalities(tree).items():
@@ -406,7 +478,7 @@ class Collection:
         doc = {KEY: doc_id, **base}
         kind = nullable(type_of(doc))
         row = self.db.spark.createDataFrame([_as_row(doc, kind)], kind, verifySchema=False)
-        self.insert_frame(apply_update(row, update, F.lit(True), KEY, inserting=True), 1)
+        self.insert_frame(apply_update(row, update, F.lit(True), KEY, inserting=True))
         return doc_id
 
     def update_one(self, filter: dict, update: dict, array_filters=None, upsert=False, sort: dict | None = None) -> UpdateResult:
@@ -432,7 +504,7 @@ class Collection:
         check_replacement(doc)
         table = self._table(create=upsert)
         seen = table.version() if table else Version(-1, None)
-        before = self._pick(table.frame(seen), filter, sort) if seen.schema is not None else None
+        before = self._pick(table.frame(seen, tree=parse_filter(filter)), filter, sort) if seen.schema is not None else None
         if before is None:
             if not upsert:
                 return UpdateResult(0, 0), None, None
@@ -442,19 +514,19 @@ class Collection:
             doc_id = doc.get(KEY, wanted)
             new = {KEY: new_id() if doc_id is None else doc_id, **{k: v for k, v in doc.items() if k != KEY}}
             kind = nullable(type_of(new))
-            self.insert_frame(self.db.spark.createDataFrame([_as_row(new, kind)], kind, verifySchema=False), 1)
+            self.insert_frame(self.db.spark.createDataFrame([_as_row(new, kind)], kind, verifySchema=False))
             return UpdateResult(0, 0, new[KEY]), None, new[KEY]
         if doc.get(KEY, before.key) != before.key:
             raise InvalidRequest("_id cannot be changed")
         new = {**doc, KEY: before.key}
         schema = nullable(common_type(seen.schema, type_of(new)))
         row = self.db.spark.createDataFrame([_as_row(new, schema)], schema, verifySchema=False)
-        hit = F.col(KEY) == F.lit(before.key)
+        hit, near = self._hit(before, None, None)
 
         def change(part: DataFrame) -> DataFrame:
             return part.where(~hit).unionByName(row, allowMissingColumns=True)
 
-        table.rewrite(seen, hit, change)
+        table.rewrite(seen, table.hits(seen, hit, near), change)
         self.db.metrics["documents_written"] += 1
         return UpdateResult(1, 1), before, before.key
 
@@ -470,16 +542,14 @@ class Collection:
         seen = table.version() if table else Version(-1, None)
         if seen.schema is None:
             return 0, None
-        df = table.frame(seen)
-        before = None
-        if one:
-            before = self._pick(df, filter, sort)
-            if before is None:
-                return 0, None
-            hit = F.col(KEY) == F.lit(before.key)
-        else:
-            hit = compile_filter(parse_filter(filter), Scope.of_frame(df, KEY), bare=False)
-        after = table.rewrite(seen, hit, lambda part: part.where(~hit), "deletes")
+        tree = parse_filter(filter)
+        df = table.frame(seen, tree=tree)
+        before = self._pick(df, filter, sort) if one else None
+        if one and before is None:
+            return 0, None
+        hit, near = self._hit(before, tree, df)
+        hits = table.hits(seen, hit, near)
+        after = table.rewrite(seen, hits, lambda part: part.where(~hit), deletes=True)
         return seen.rows - after.rows, before
 
     def delete_one(self, filter: dict, sort: dict | None = None) -> DeleteResult:
@@ -492,12 +562,18 @@ class Collection:
         _, before = self._retry(lambda: self._delete(filter, True, sort))
         return _projected(self.db.spark, before, projection) if before is not None else None
 
-    def compact(self) -> None:
-        """Sort the collection by its key into few files."""
-        self._table().compact(KEY, self.db.options.compact_files)
-
-    def vacuum(self) -> int:
-        return self._table().vacuum()
+    def compact(self, index: str | None = None) -> None:
+        """Sort the collection by its key, or by an index, into few files."""
+        keys = [KEY]
+        if index is not None:
+            found = [i for i in self.list_indexes() if i.name == index]
+            if not found:
+                raise IndexNotFound(index)
+            keys = [path for path, _ in found[0].fields]
+        self._table().compact(keys, self.db.options.compact_files)
+
+    def vacuum(self, older_than: float | None = None) -> int:
+        return self._table().vacuum(self.db.options.keep_seconds if older_than is None else older_than)
 
 
 def nullable(kind: T.DataType) -> T.DataType:

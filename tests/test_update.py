@@ -103,3 +103,17 @@ def test_bad_array_filters():
 def test_wrong_types(docs, update):
     with pytest.raises(InvalidRequest):
         run(docs, update)
+
+
+def test_nan_is_the_least_number(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1, nan, [2.0, nan, 1.0]), (2, 5.0, [nan]), (3, None, None)], "_id int, x double, arr array<double>")
+
+    def image(update):
+        return [repr(r[0]) for r in apply_update(df, parse_update(update), {}).orderBy("_id").select(next(iter(next(iter(update.values()))))).collect()]
+
+    assert image({"$max": {"x": 1.0}}) == ["1.0", "5.0", "1.0"]
+    assert image({"$min": {"x": 1.0}}) == ["nan", "1.0", "1.0"]
+    assert image({"$max": {"x": nan}}) == ["nan", "5.0", "nan"]
+    assert image({"$min": {"x": nan}}) == ["nan", "nan", "nan"]
+    assert image({"$push": {"arr": {"$each": [0.5], "$sort": 1}}}) == ["[nan, 0.5, 1.0, 2.0]", "[nan, 0.5]", "[0.5]"]
