@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,7 +11,8 @@ from pyspark.sql import functions as F
 from brindle.operators.find import find
 from brindle.operators.update import apply_update
 from brindle.plans.updates import parse_update
-from brindle.sources.database import Collection, open_database
+from brindle.sources.database import Collection, Database, IdStrategy, ReturnDocument, open_database
+from brindle.sources.storage import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -213,6 +213,17 @@ _customers("u_inc_int", {"c_acctbal": {"$lt": 0}}, {"$inc": {"c_nationkey": 5}},
 _customers("u_mul", {"c_nationkey": 1}, {"$mul": {"c_acctbal": 2}}, "c_acctbal", "c_acctbal * 2", "c_nationkey = 1")
 _customers("u_min", {}, {"$min": {"c_acctbal": 500.0}}, "c_acctbal", "least(c_acctbal, 500.0::DOUBLE)", "true")
 _customers("u_max", {}, {"$max": {"seg": "HOUSEHOLD"}}, "seg", "greatest(coalesce(seg, 'HOUSEHOLD'), 'HOUSEHOLD')", "true")
+def _balances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer with a balance that is NaN below -500 and missing below 0."""
+    bal = F.when(F.col("c_acctbal") < -500, F.lit(float("nan"))).when(F.col("c_acctbal") >= 0, F.col("c_acctbal"))
+    return _table(spark, sf_dir, "customer").select("c_custkey", bal.alias("bal"))
+
+
+for _n, _op, _new in (("u_min_nan", "$min", "CASE WHEN isnan(b) THEN b ELSE least(b, 1000) END"), ("u_max_nan", "$max", "CASE WHEN isnan(b) THEN 1000 ELSE greatest(b, 1000) END")):
+    _update(_n, "customer", "c_custkey", {}, {_op: {"bal": 1000.0}}, ["c_custkey", "cast(bal AS string) = 'NaN' AS odd", "if(isnan(bal), 0, bal) AS v"],
+            f"WITH c AS (SELECT c_custkey, coalesce(CASE WHEN c_acctbal < -500 THEN 'nan'::DOUBLE WHEN c_acctbal >= 0 THEN c_acctbal END, 1000) AS b FROM customer) SELECT c_custkey, isnan({_new}) AS odd, CASE WHEN isnan({_new}) THEN 0 ELSE {_new} END AS v FROM c",
+            _balances)
+
 _customers("u_rename", {"c_nationkey": {"$lt": 12}}, {"$rename": {"seg": "market"}}, "market", "seg", "c_nationkey < 12", "NULL")
 _customers("u_bit", {"c_nationkey": {"$gt": 4}}, {"$bit": {"c_nationkey": {"and": 12, "or": 1, "xor": 3}}}, "c_nationkey", "xor((c_nationkey & 12) | 1, 3)", "c_nationkey > 4")
 _customers("u_many_operators", {"c_nationkey": 7}, {"$set": {"seg": "Z"}, "$inc": {"c_acctbal": 1.5}}, "concat(coalesce(seg, '-'), '/', cast(c_acctbal > 0 as string))",
@@ -257,18 +268,31 @@ _update("u_pull_doc", "conversations", "conv_id", {}, {"$pull": {"turns": {"role
 SUPPLIERS = "SELECT s_suppkey AS id, s_name AS name, s_nationkey AS nation, s_acctbal AS bal FROM supplier"
 
 
+def _database(spark: SparkSession) -> Database:
+    return open_database(spark, f"{shared_folder(spark)}/brindle-{uuid.uuid4().hex}")
+
+
+def _suppliers(spark: SparkSession, sf_dir: str) -> Collection:
+    suppliers = _database(spark).create_collection("suppliers")
+    suppliers.insert_frame(_table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS _id", "s_name AS name", "s_nationkey AS nation", "s_acctbal AS bal"))
+    return suppliers
+
+
 def _written(work: Callable[[Collection], None]) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        folder = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()).rstrip("/")
-        suppliers = open_database(spark, f"{folder}/brindle-{uuid.uuid4().hex}").create_collection("suppliers")
-        rows = _table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS _id", "s_name AS name", "s_nationkey AS nation", "s_acctbal AS bal")
-        suppliers.insert_frame(rows)
+        suppliers = _suppliers(spark, sf_dir)
         work(suppliers)
         return suppliers.frame().withColumnRenamed("_id", "id")
 
     return query
 
 
+def _answered(name: str, schema: str, work: Callable[[Collection], list[tuple]], sql: str) -> None:
+    """Register what calls on the collection of suppliers return, as rows."""
+    QUERIES[name] = lambda spark, sf_dir: spark.createDataFrame(work(_suppliers(spark, sf_dir)), schema)
+    SQL[name] = sql
+
+
 for _n, _w, _s in (
     ("w_insert_frame", lambda c: None, SUPPLIERS),
     ("w_insert_many", lambda c: c.insert_many([{"_id": -1, "name": "a", "nation": 1, "bal": 0.5}, {"_id": -2, "name": "b"}]),
@@ -291,18 +315,109 @@ for _n, _w, _s in (
     ("w_find_one_and_replace", lambda c: c.find_one_and_replace({"_id": 4}, {"name": "r"}),
      f"SELECT id, CASE WHEN id = 4 THEN 'r' ELSE name END AS name, CASE WHEN id = 4 THEN NULL ELSE nation END AS nation, CASE WHEN id = 4 THEN NULL ELSE bal END AS bal FROM ({SUPPLIERS})"),
     ("w_compact", lambda c: c.compact(), SUPPLIERS),
+    ("w_insert_one", lambda c: c.insert_one({"_id": -9, "name": "one", "bal": 2.5}), SUPPLIERS + " UNION ALL VALUES (-9, 'one', NULL, 2.5)"),
+    ("w_replace_upsert", lambda c: c.replace_one({"_id": -6}, {"name": "r", "nation": 4}, upsert=True), SUPPLIERS + " UNION ALL VALUES (-6, 'r', 4, NULL)"),
+    ("w_compact_index", lambda c: (c.create_index({"nation": 1, "bal": -1}), c.compact("nation_1_bal_-1"), c.update_many({"nation": 5}, {"$set": {"bal": 0.0}})),
+     f"SELECT id, name, nation, CASE WHEN nation = 5 THEN 0 ELSE bal END AS bal FROM ({SUPPLIERS})"),
 ):
     QUERIES[_n], SQL[_n] = _written(_w), _s
 
 
-def _count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()).rstrip("/")
-    c = open_database(spark, f"{folder}/brindle-{uuid.uuid4().hex}").create_collection("nations")
+def _image(doc: dict | None) -> list[tuple]:
+    return [(doc["_id"], doc.get("name"), doc.get("nation"), doc.get("bal"))] if doc else []
+
+
+def _counts(c: Collection) -> tuple:
+    """What an update and a delete report, and what remains."""
+    done = c.update_many({"nation": {"$lt": 9}}, {"$set": {"name": "x"}})
+    return done.matched_count, done.modified_count, c.delete_many({"name": "x"}).deleted_count, c.estimated_document_count()
+
+
+_DOC = "id long, name string, nation int, bal double"
+_TOP = f"(SELECT id FROM ({SUPPLIERS}) WHERE nation = 3 ORDER BY bal DESC, id LIMIT 1)"
+_BY_BAL = {"bal": -1, "_id": 1}
+
+_answered("r_update_before", _DOC, lambda c: _image(c.find_one_and_update({"nation": 3}, {"$inc": {"bal": 100.0}}, sort=_BY_BAL)),
+          f"SELECT * FROM ({SUPPLIERS}) WHERE id = {_TOP}")
+_answered("r_update_after", _DOC, lambda c: _image(c.find_one_and_update({"nation": 3}, {"$inc": {"bal": 100.0}}, sort=_BY_BAL, return_document=ReturnDocument.AFTER)),
+          f"SELECT id, name, nation, bal + 100 AS bal FROM ({SUPPLIERS}) WHERE id = {_TOP}")
+_answered("r_update_projection", "id long, name string", lambda c: [x[:2] for x in _image(c.find_one_and_update({"nation": 3}, {"$set": {"name": "n"}}, {"name": 1}, _BY_BAL))],
+          f"SELECT id, name FROM ({SUPPLIERS}) WHERE id = {_TOP}")
+_answered("r_replace_after", _DOC, lambda c: _image(c.find_one_and_replace({"nation": 3}, {"name": "r"}, sort=_BY_BAL, return_document=ReturnDocument.AFTER)),
+          f"SELECT {_TOP} AS id, 'r' AS name, NULL::INTEGER AS nation, NULL::DOUBLE AS bal")
+_answered("r_delete", _DOC, lambda c: _image(c.find_one_and_delete({"nation": 3}, sort=_BY_BAL)), f"SELECT * FROM ({SUPPLIERS}) WHERE id = {_TOP}")
+_answered("r_counts", "matched long, modified long, deleted long, remain long", lambda c: [_counts(c)],
+          f"SELECT count(*) FILTER (nation < 9) AS matched, count(*) FILTER (nation < 9) AS modified, count(*) FILTER (nation < 9) AS deleted, count(*) FILTER (nation >= 9) AS remain FROM ({SUPPLIERS})")
+
+
+def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An older version stays as it was, whatever is written after it."""
+    c = _suppliers(spark, sf_dir)
+    seen = c.version()
+    c.delete_many({"nation": {"$gt": 4}})
+    c.update_many({}, {"$set": {"name": "later"}})
+    return c.frame(seen).withColumnRenamed("_id", "id")
+
+
+def _index_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of an indexed field, over files sorted by that index: the others' zones rule them out."""
+    c = _suppliers(spark, sf_dir)
+    c.create_index({"nation": 1})
+    c.compact("nation_1")
+    return c.find({"nation": {"$gte": 7, "$lt": 12}, "bal": {"$gt": 0}}).frame(ordered=False).withColumnRenamed("_id", "id")
+
+
+def _missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection that does not exist is empty to a lenient handle, and an insert creates it."""
+    c = _database(spark).collection("nations").create_if_missing()
+    before = len(list(c.find().execute()))
     c.insert_frame(_table(spark, sf_dir, "nation").selectExpr("n_nationkey AS _id", "n_name AS name"))
-    return spark.createDataFrame([(c.estimated_document_count(),)], "n long")
+    return c.frame().select("_id", "name", F.lit(before).alias("before")).withColumnRenamed("_id", "id")
+
+
+QUERIES["s_snapshot"], SQL["s_snapshot"] = _snapshot, SUPPLIERS
+QUERIES["s_index_scan"], SQL["s_index_scan"] = _index_scan, f"SELECT * FROM ({SUPPLIERS}) WHERE nation >= 7 AND nation < 12 AND bal > 0"
+QUERIES["s_create_if_missing"], SQL["s_create_if_missing"] = _missing, "SELECT n_nationkey AS id, n_name AS name, 0 AS before FROM nation"
+
+
+def _regions(spark: SparkSession, sf_dir: str) -> Database:
+    """One collection of nations for each region."""
+    db = _database(spark)
+    nations = _table(spark, sf_dir, "nation").selectExpr("n_nationkey AS _id", "n_name AS name", "n_regionkey AS region")
+    for k in range(5):
+        db.create_collection(f"region{k}", IdStrategy.MANUAL).insert_frame(nations.where(F.col("region") == k))
+    return db
+
+
+def _sizes(db: Database) -> list[tuple]:
+    return [(c.name, db.collection(c.name).estimated_document_count()) for c in db.list_collections()]
+
+
+def _catalog_query(name: str, schema: str, work: Callable[[Database], list[tuple]], sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: spark.createDataFrame(work(_regions(spark, sf_dir)), schema)
+    SQL[name] = sql
+
+
+_BY_REGION = "SELECT 'region' || n_regionkey AS name, count(*) AS n FROM nation GROUP BY n_regionkey"
+_catalog_query("d_list", "name string, n long", _sizes, _BY_REGION)
+_catalog_query("d_drop", "name string, n long", lambda db: (db.drop_collection("region2"), db.drop_collection("none"), _sizes(db))[-1], f"SELECT * FROM ({_BY_REGION}) WHERE name <> 'region2'")
+_catalog_query("d_rename", "name string, n long", lambda db: (db.collection("region3").rename("third"), _sizes(db))[-1], f"SELECT replace(name, 'region3', 'third') AS name, n FROM ({_BY_REGION})")
+_catalog_query("d_recreate", "name string, n long", lambda db: (db.drop_collection("region1"), db.create_collection("region1"), _sizes(db))[-1],
+               f"SELECT name, CASE WHEN name = 'region1' THEN 0 ELSE n END AS n FROM ({_BY_REGION})")
+_catalog_query("d_reopen", "name string, n long", lambda db: _sizes(open_database(db.spark, db.root)), _BY_REGION)
+_catalog_query("d_count", "n long", lambda db: [(sum(n for _, n in _sizes(db)),)], "SELECT count(*) AS n FROM nation")
+
+
+def _indexes(db: Database) -> list[tuple]:
+    c = db.collection("region0")
+    for keys in ({"name": 1}, {"region": -1, "name": 1}, {"sub.x": 1}):
+        c.create_index(keys)
+    c.create_index({"name": 1})
+    c.drop_index("sub.x_1")
+    return [(i.name, path, way) for i in c.list_indexes() for path, way in i.fields]
 
 
-QUERIES["d_count"], SQL["d_count"] = _count, "SELECT count(*) AS n FROM nation"
+_catalog_query("d_indexes", "name string, path string, way int", _indexes, "SELECT * FROM (VALUES ('name_1', 'name', 1), ('region_-1_name_1', 'region', -1), ('region_-1_name_1', 'name', 1)) v(name, path, way)")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
