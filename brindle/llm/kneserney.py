@@ -1,11 +1,15 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over characters (an alphabet of 40 classes, order 4), so its
-tables have a fixed bound; word n-grams would make the model grow without one.
-Counts come from every trusted document. They are summed in shards by n-gram;
-lower orders count distinct left neighbours; joins on the n-gram's prefix and
-suffix give each its interpolated probability. Documents are scored whole, and
-thresholds are quantiles of the trusted documents' perplexity, by language.
+The model is over characters (any code point, order 5). Its counts cover every
+trusted document and are summed in shards by n-gram; lower orders count distinct
+left neighbours; joins on an n-gram's context and its shorter form give its
+interpolated probability. Nothing of the model is broadcast or collected.
+
+Documents are scored by joins, too. A block is a range of rows of a file; a task
+lists the distinct n-grams of each of its blocks, these are joined to the
+model's shards, and each block's texts meet the probabilities of their own
+n-grams again. Thresholds are quantiles of the trusted documents' perplexity, by
+language.
 """
 
 from __future__ import annotations
@@ -13,30 +17,128 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from brindle.llm.common import drop_scratch, scratch, sliced, text_bytes, views
+
+ORDER = 5
+#: Stands before and after a text, and for the character 0: code points that no text has.
+EDGE, NIL = 0xFFFF, 0xFFFE
+#: Rows of a file that make a block, and characters that are looked up at a time.
+BLOCK_ROWS, CHUNK = 4096, 1 << 19
+
+
+class Slots:
+    """Open addressing over 64-bit hashes, for whole arrays at once."""
+
+    def __init__(self, bits: int = 16):
+        self.bits, self.n = bits, 0
+        self.keys = np.zeros(1 << bits, dtype=np.uint64)
+        self.values = np.zeros(1 << bits, dtype=np.float32)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each hash (none is 0) its slot, or the free slot where its search ended, and whether it is there."""
+        mask = len(self.keys) - 1
+        slot = (h & np.uint64(mask)).astype(np.int64)  # the low bits: hashes often come in order
+        here = self.keys[slot]
+        found = here == h
+        open_ = np.flatnonzero(~found & (here != 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & mask
+            here = self.keys[slot[open_]]
+            found[open_] = here == h[open_]
+            open_ = open_[(here != 0) & (here != h[open_])]
+        return slot, found
+
+    def add(self, h: np.ndarray, values: np.ndarray | float = 0.0) -> None:
+        """Put in different hashes that are not there yet."""
+        while (self.n + len(h)) * 4 > len(self.keys):
+            old = np.flatnonzero(self.keys)
+            bigger = Slots(self.bits + 2)
+            bigger._put(self.keys[old], self.values[old])
+            self.bits, self.keys, self.values = bigger.bits, bigger.keys, bigger.values
+        self._put(h, np.broadcast_to(np.asarray(values, dtype=np.float32), h.shape))
+        self.n += len(h)
+
+    def _put(self, h: np.ndarray, values: np.ndarray) -> None:
+        while len(h):
+            slot, _ = self.find(h)
+            slot, first = np.unique(slot, return_index=True)
+            self.keys[slot], self.values[slot] = h[first], values[first]
+            rest = np.ones(len(h), dtype=bool)
+            rest[first] = False
+            h, values = h[rest], values[rest]
+
+
+def code_points(text) -> np.ndarray:
+    """A byte text as code points, with ORDER - 1 edges before it and one after."""
+    body = np.frombuffer(bytes(text).decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
+    out = np.full(len(body) + ORDER, EDGE, dtype=np.uint32)
+    out[ORDER - 1 : -1] = body
+    out[out == 0] = NIL
+    return out
+
+
+def gram_hashes(codes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each n-gram of the highest order; never 0."""
+    mixed = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    n = len(codes) - ORDER + 1
+    h = mixed[:n].copy()
+    for k in range(1, ORDER):
+        h *= np.uint64(0x94D049BB133111EB)
+        h += mixed[k : k + n]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return np.maximum(h, np.uint64(1))
+
 
-from brindle.llm import symbols
-from brindle.llm.common import scratch, text_bytes, views
+def grams_at(codes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The n-grams at some places as texts."""
+    return np.ascontiguousarray(codes[places[:, None] + np.arange(ORDER)]).view(f"<U{ORDER}").ravel()
 
-ORDER = 4
-SIZE = symbols.SIZE
+
+def chunks(texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Code points of the texts, one text after the other, about CHUNK at a time, and the places of their n-grams.
+
+    A long text is cut so that each of its n-grams lies in one piece; no n-gram reaches into another text.
+    """
+    held, size = [], 0
+
+    def put_together():
+        codes = np.concatenate(held)
+        own = np.ones(len(codes), dtype=bool)
+        ends = np.cumsum([len(x) for x in held])
+        own[(ends[:, None] - np.arange(1, ORDER)).ravel()] = False
+        return codes, np.flatnonzero(own)
+
+    for t in texts:
+        codes = code_points(t)
+        for at in range(0, len(codes) - ORDER + 1, CHUNK):
+            held.append(codes[at : at + CHUNK + ORDER - 1])
+            size += len(held[-1])
+            if size >= CHUNK:
+                yield put_together()
+                held, size = [], 0
+    if held:
+        yield put_together()
 
 
 def count_grams(trusted: DataFrame) -> DataFrame:
-    """(gram, n) of the highest order; each task sends what it has summed."""
+    """(gram, n) of the highest order; each task sends what a chunk has summed."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SIZE**ORDER, dtype=np.int64)
-        for batch in batches:
-            for v in views(batch.column(0)):
-                np.add.at(total, symbols.grams(symbols.encode(v, ORDER), ORDER), 1)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["gram", "n"])
+        for codes, places in chunks(v for batch in batches for v in views(batch.column(0))):
+            _, first, n = np.unique(gram_hashes(codes)[places], return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(grams_at(codes, places[first])), pa.array(n)], names=["gram", "n"])
 
-    return trusted.select(text_bytes()).mapInArrow(work, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return trusted.select(text_bytes()).mapInArrow(work, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def discounts(counts: DataFrame) -> list[float]:
@@ -50,73 +152,165 @@ def discounts(counts: DataFrame) -> list[float]:
     return [min(max(x, 0.05), i + 0.95) for i, x in enumerate(d)]
 
 
-def train(trusted: DataFrame) -> list[tuple[int, DataFrame]]:
-    """Per order: (order, table of gram, p, gamma).
+def train(trusted: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """For each order from 1: (gram, own) and (context, gamma).
 
-    ``p`` is the interpolated probability of the gram's last symbol after the
-    others; ``gamma`` the weight that its context leaves to the shorter one.
+    ``own`` is the discounted share of the gram's last character after the
+    others; ``gamma`` the weight that a context leaves to the shorter one.
     """
-    tables: list[tuple[int, DataFrame]] = []
     by_order = {ORDER: scratch(count_grams(trusted), "kn-counts")}
     for k in range(ORDER - 1, 0, -1):
-        # Continuation counts: how many different symbols stand before the shorter gram.
-        shorter = by_order[k + 1].groupBy((F.col("gram") % SIZE**k).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        # Continuation counts: how many different characters stand before the shorter gram.
+        shorter = by_order[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
         by_order[k] = scratch(shorter, "kn-counts")
-    lower = None
+    model = []
     for k in range(1, ORDER + 1):
         counts, d = by_order[k], discounts(by_order[k])
         cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        context = F.floor(F.col("gram") / SIZE).cast("long")
-        rows = counts.withColumn("context", context).withColumn("cut", F.least(cut, F.col("n")))
-        totals = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("spare"))
-        rows = rows.join(totals, "context").withColumn("gamma", F.col("spare") / F.col("total"))
-        own = (F.col("n") - F.col("cut")) / F.col("total")
+        rows = counts.withColumn("context", F.substring("gram", 1, k - 1)).withColumn("cut", F.least(cut, F.col("n")))
+        totals = scratch(rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("spare")), "kn-contexts")
+        own = rows.join(totals, "context").select("gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("own"))
+        model.append((scratch(own, "kn-grams"), totals.select("context", (F.col("spare") / F.col("total")).alias("gamma"))))
+    drop_scratch(*by_order.values())
+    return model
+
+
+def probabilities(grams: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(gram, p) of distinct n-grams of the highest order, seen or not, by joins with the model's shards, order by order.
+
+    The shortest model is uniform over the trusted characters and one for all others.
+    """
+    wanted = {ORDER: scratch(grams, "kn-wanted")}
+    for k in range(ORDER - 1, 0, -1):
+        wanted[k] = scratch(wanted[k + 1].select(F.substring("gram", 2, k).alias("gram")).distinct(), "kn-wanted")
+    lower = None
+    for k in range(1, ORDER + 1):
+        own, left = model[k - 1]
+        rows = wanted[k].withColumn("context", F.substring("gram", 1, k - 1)).join(own, "gram", "left").join(left, "context", "left")
         if lower is None:
-            table = rows.select("gram", (own + F.col("gamma") / SIZE).alias("p"), "gamma")
+            rows = rows.withColumn("low", F.lit(1.0 / (own.count() + 1)))
         else:
-            low = lower.select(F.col("gram").alias("_g"), F.col("p").alias("_p"))
-            rows = rows.join(low, F.col("gram") % SIZE ** (k - 1) == F.col("_g"))
-            table = rows.select("gram", (own + F.col("gamma") * F.col("_p")).alias("p"), "gamma")
-        lower = scratch(table, "kn-model")
-        tables.append((k, lower))
-    return tables
-
-
-def dense(tables: list[tuple[int, DataFrame]]) -> np.ndarray:
-    """Log probability of every possible gram of the highest order (40^4 cells)."""
-    p = np.full(1, 1.0 / SIZE)
-    for k, table in tables:
-        full = np.tile(p.reshape(1, -1), (SIZE if k > 1 else 1, 1)).reshape(-1) if k > 1 else np.full(SIZE, 1.0 / SIZE)
-        rows = table.toArrow()
-        gram, own, gamma = (rows.column(c).to_numpy() for c in ("gram", "p", "gamma"))
-        left = np.ones(SIZE ** (k - 1))
-        left[gram // SIZE] = gamma
-        full = full * np.repeat(left, SIZE)
-        full[gram] = own
-        p = full
-    return np.log(p)
-
-
-def with_perplexity(docs: DataFrame, model: np.ndarray) -> DataFrame:
-    """Add ``perplexity``, a symbol, of each whole text. The model's size is fixed, so it is broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast(model.astype(np.float32))
-
-    @F.pandas_udf("double")
-    def perplexity(text: pd.Series) -> pd.Series:
-        table = shared.value
-        return pd.Series([float(np.exp(-table[symbols.grams(symbols.encode(t, ORDER), ORDER)].mean(dtype=np.float64))) for t in text], dtype=float)
-
-    return docs.withColumn("perplexity", perplexity(text_bytes()))
-
-
-def known_ids(labels: DataFrame, broadcast_ids: int) -> DataFrame:
-    """Ids of trusted documents. Up to ``broadcast_ids`` (8 bytes each) they go to
-    the texts; beyond that texts and ids meet in a shuffle. The result is the same."""
-    good = scratch(labels.where("quality = 1").select("doc_id").distinct(), "trusted")
-    return F.broadcast(good) if good.count() <= broadcast_ids else good
+            low = lower.select(F.col("gram").alias("_g"), F.col("p").alias("low"))
+            rows = rows.join(low, F.substring("gram", 2, k - 1) == F.col("_g"))
+        p = F.coalesce("own", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.col("low")
+        lower, before = scratch(rows.select("gram", p.alias("p")), "kn-model"), lower
+        if before is not None:
+            drop_scratch(before)
+    drop_scratch(*wanted.values())
+    return lower
+
+
+def _blocks(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_block``: which file, and which thousands of its rows.
+
+    It depends on the files alone, so every scan and every repeated task gives a
+    row the same block. What is not read from files is written first.
+    """
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        docs = scratch(docs, "kn-docs")
+    where = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / BLOCK_ROWS))
+    return docs.select("doc_id", "lang", text_bytes().alias("_bytes"), where.alias("_block"))
+
+
+def block_grams(rows: DataFrame) -> DataFrame:
+    """(block, gram, h): the distinct n-grams of each block and their hashes. A task reads a block's rows in a row."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, seen = None, Slots()
+        for batch in batches:
+            blocks = batch.column(0).to_numpy(zero_copy_only=False)
+            for a, b in _runs(blocks):
+                if blocks[a] != block:
+                    block, seen = blocks[a], Slots()
+                for codes, places in chunks(views(batch.column(1).slice(a, b - a))):
+                    h = gram_hashes(codes)[places]
+                    new = np.flatnonzero(~seen.find(h)[1])
+                    h, first = np.unique(h[new], return_index=True)
+                    seen.add(h)
+                    out = [np.full(len(h), block), grams_at(codes, places[new[first]]), h.view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["block", "gram", "h"])
+
+    return rows.select("_block", "_bytes").mapInArrow(work, "block long, gram string, h long")
+
+
+def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    """First and end of each run of equal keys."""
+    edges = (np.flatnonzero(np.diff(keys)) + 1).tolist()
+    return list(zip([0, *edges], [*edges, len(keys)], strict=True)) if len(keys) else []
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, margin: float = 0.15, broadcast_ids: int = 4_000_000) -> DataFrame:
+def block_tables(pairs: DataFrame, scored: DataFrame) -> DataFrame:
+    """(block, body): hashes and log probabilities of each block's n-grams, packed, in pieces."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in filter(len, batches):
+            blocks, h, p = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            logs, cuts = np.log(p).astype("<f4"), _runs(blocks)
+            body = [h[a:b].tobytes() + logs[a:b].tobytes() for a, b in cuts]
+            yield pa.RecordBatch.from_arrays([pa.array(blocks[[a for a, _ in cuts]]), pa.array(body, pa.binary())], names=["block", "body"])
+
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = pairs.join(scored, "gram").select("block", "h", "p").repartition(parts, "block").sortWithinPartitions("block")
+    return joined.mapInArrow(work, "block long, body binary")
+
+
+def with_perplexity(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], rounds: int = 3) -> DataFrame:
+    """doc_id, lang and ``perplexity``, a character, of each whole text.
+
+    The blocks are worked off in ``rounds``, so that shuffle files take only a
+    part of the disk that the texts would.
+    """
+    rows = _blocks(docs)
+    schema = T.StructType([docs.schema["doc_id"], docs.schema["lang"], T.StructField("perplexity", T.DoubleType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, table = None, Slots()
+        for batch in sliced(batches):
+            keys, is_text = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            out = np.full(batch.num_rows, np.nan)
+            for i, body in enumerate(views(batch.column(2))):
+                if keys[i] != block:
+                    block, table = keys[i], Slots()
+                if not is_text[i]:
+                    n = len(body) // 12
+                    table.add(np.frombuffer(body, dtype="<u8", count=n), np.frombuffer(body, dtype="<f4", offset=8 * n))
+                    continue
+                total = count = 0
+                for codes, places in chunks([body]):
+                    slot, found = table.find(gram_hashes(codes)[places])
+                    if not found.all():
+                        raise RuntimeError("a text has n-grams that its block has not listed")
+                    total += float(table.values[slot].sum(dtype=np.float64))
+                    count += len(slot)
+                out[i] = np.exp(-total / count)
+            kept = pa.array(is_text.astype(bool))
+            cols = [batch.column(3).filter(kept), batch.column(4).filter(kept), pa.array(out).filter(kept)]
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    done = []
+    for k in range(rounds):
+        own = rows.where(F.pmod("_block", F.lit(rounds)) == k)
+        pairs = scratch(block_grams(own), "kn-pairs")
+        scored = probabilities(pairs.select("gram").distinct(), model)
+        tables = scratch(block_tables(pairs, scored), "kn-tables")
+        drop_scratch(pairs, scored)
+        nothing = [F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in ("doc_id", "lang")]
+        both = own.select(F.col("_block").alias("block"), F.lit(1).alias("is_text"), F.col("_bytes").alias("body"), "doc_id", "lang").unionAll(
+            tables.select("block", F.lit(0).alias("is_text"), "body", *nothing)
+        )
+        dealt = both.repartition(parts, "block").sortWithinPartitions("block", "is_text")
+        done.append(scratch(dealt.mapInArrow(work, schema), "kn-scores"))
+        drop_scratch(tables)
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionAll(part)
+    return out
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, margin: float = 0.15) -> DataFrame:
     """doc_id, lang, perplexity, threshold and kept of every document.
 
     Trusted text is that of every document labelled quality 1. A document is
@@ -127,10 +321,10 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, margin:
     language is one more; repeated rows are scored alike; without trusted text
     nothing is rejected; an empty table gives no rows.
     """
-    good = known_ids(labels, broadcast_ids)
-    trusted = docs.select("doc_id", "text").join(good, "doc_id", "left_semi")
-    model = dense(train(trusted))
-    scored = scratch(with_perplexity(docs.select("doc_id", "lang", "text"), model).drop("text"), "kn-scores")
+    good = scratch(labels.where("quality = 1").select("doc_id").distinct(), "trusted")
+    # A merge at every size: the ids grow with the labels, and Spark can split a hot key.
+    trusted = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left_semi")
+    scored = with_perplexity(docs, train(trusted))
     known = scored.join(good, "doc_id", "left_semi")
     bounds = F.percentile_approx("perplexity", [1 - quantile, quantile], 1000)
     by_lang = known.groupBy(F.col("lang").alias("_lang")).agg(bounds.alias("_own"))

@@ -438,18 +438,103 @@ def test_sql_agrees(spark, docs, rows):
         assert Counter(found.fetchall()) == Counter(map(tuple, frame.select(*columns).collect()))
 
 
+def brute_perplexity(trusted, texts, order=5):
+    """Interpolated modified Kneser-Ney, one dictionary an order, one character after the other."""
+    symbols_ = lambda t: ["^"] * (order - 1) + list(t) + ["^"]
+    counts = {order: Counter(tuple(s[i : i + order]) for s in map(symbols_, trusted) for i in range(len(s) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    cuts, total, spare = {}, defaultdict(float), defaultdict(float)
+    for k, own in counts.items():
+        n = [sum(c == i for c in own.values()) for i in range(5)]
+        cuts[k] = [0.5, 1.0, 1.5]
+        if n[1] and n[2]:
+            y = n[1] / (n[1] + 2 * n[2])
+            d = [1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3] if n[3] else 1.5]
+            cuts[k] = [min(max(x, 0.05), i + 0.95) for i, x in enumerate(d)]
+        for g, c in own.items():
+            total[g[:-1]] += c
+            spare[g[:-1]] += min(c, cuts[k][min(c, 3) - 1])
+
+    def probability(gram):
+        if not gram:
+            return 1 / (len(counts[1]) + 1)
+        low = probability(gram[1:])
+        if gram[:-1] not in total:
+            return low
+        c = counts[len(gram)][gram]
+        own = c - min(c, cuts[len(gram)][min(c, 3) - 1]) if c else 0
+        return own / total[gram[:-1]] + spare[gram[:-1]] / total[gram[:-1]] * low
+
+    out = []
+    for t in texts:
+        s = symbols_(t)
+        out.append(np.exp(-np.mean([np.log(probability(tuple(s[i : i + order]))) for i in range(len(s) - order + 1)])))
+    return out
+
+
+def test_perplexity(spark, monkeypatch):
+    rnd = random.Random(7)
+    known = ["".join(rnd.choice(["the ", "Cat ", "sat ", "on ", "мост ", "日本 ", "7 ", "\x00"]) for _ in range(rnd.randrange(40))) for _ in range(50)]
+    odd = ["", "q", "the", "zzz жжж", "\x00\x00", "the cat" * 300, "𝔸𝔹 日本 мост", "x" * 5000, *known[:5]]
+    monkeypatch.setattr(kneserney, "BLOCK_ROWS", 4)
+    train = spark.createDataFrame([(t,) for t in known], "text string").repartition(3)
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(odd)], "doc_id long, text string, lang string").repartition(2)
+    got = {r.doc_id: r.perplexity for r in kneserney.with_perplexity(df, kneserney.train(train)).collect()}
+    want = brute_perplexity(known, odd)
+    assert len(got) == len(odd) and np.allclose([got[i] for i in range(len(odd))], want, rtol=1e-4)
+
+
+def test_chunks_cut_no_gram(monkeypatch):
+    rnd = random.Random(8)
+    own = ["".join(rnd.choice("abé\x00日𝔸") for _ in range(rnd.choice([0, 1, 4, 30, 900]))).encode() for _ in range(80)]
+    whole = Counter()
+    for t in own:
+        codes = kneserney.code_points(t)
+        whole.update(map(tuple, (codes[i : i + 5].tolist() for i in range(len(codes) - 4))))
+    for size in (1, 7, 700, 1 << 19):
+        monkeypatch.setattr(kneserney, "CHUNK", size)
+        cut = Counter()
+        for codes, places in kneserney.chunks(own):
+            assert len(codes) <= 2 * size + 1000
+            cut.update(tuple(codes[i : i + 5].tolist()) for i in places.tolist())
+            assert all(map(str.__eq__, kneserney.grams_at(codes, places), ("".join(map(chr, codes[i : i + 5])) for i in places.tolist())))
+        assert cut == whole
+
+
+def test_slots():
+    rnd = np.random.default_rng(2)
+    h = np.unique(rnd.integers(1, 2**64, 9000, dtype=np.uint64))
+    h[:3000] = h[:3000] >> np.uint64(40) | np.uint64(1)  # many in one place
+    h = np.unique(h)
+    table = kneserney.Slots(4)
+    for part in np.array_split(rnd.permutation(len(h)), 9):
+        assert not table.find(h[part])[1].any()
+        table.add(h[part], part)
+    slot, found = table.find(h)
+    assert found.all() and (table.values[slot] == np.arange(len(h))).all() and not table.find(h[h > 5] - np.uint64(1))[1].all()
+
+
 def test_kneser_ney(spark):
     rnd = random.Random(6)
-    good = ["".join(rnd.choice(["the ", "cat ", "sat ", "on ", "mats "]) for _ in range(60)) for _ in range(80)]
-    rows = [(i, t, ("en", None)[i % 2]) for i, t in enumerate(good)] + [(900, "qzx|jv|" * 40, "en"), (901, None, "en"), (902, "kjqz" * 50, "xx"), (None, good[0], "en")]
+    speech = {"en": ["the ", "cat ", "sat ", "on ", "mats "], "ru": ["дом ", "стоит ", "у ", "реки ", "под ", "горой "], "zh": ["我们", "今天", "去", "学校", "读书", "。"]}
+    rows, labels = [], []
+    for lang, parts in speech.items():
+        letters = sorted(set("".join(parts)) - {" "})
+        for _ in range(60):
+            rows.append((len(rows), "".join(rnd.choice(parts) for _ in range(60)), lang))
+            labels.append((rows[-1][0], 1))
+        # Junk over the same letters: no class of characters tells it apart.
+        rows.append((900 + len(rows), "".join(rnd.choice(letters) for _ in range(150)), lang))
+        labels.append((rows[-1][0], 0))
+    rows += [(1901, None, "en"), (1902, "kjqz" * 50, "xx"), (None, rows[0][1], "en"), (1903, rows[0][1], None)]
     df = spark.createDataFrame([(*r, 0.0) for r in rows], "doc_id long, text string, lang string, perplexity double")
-    labels = spark.createDataFrame([(i, 1) for i in range(80)] * 2 + [(900, 0)], "doc_id long, quality int")
-    got = {r.doc_id: r for r in kneserney.classify(df, labels).collect()}
-    assert len(got) == len(rows) and not got[900].kept and not got[902].kept and sum(got[i].kept for i in range(80)) >= 78
-    model = np.exp(kneserney.dense(kneserney.train(df.where("doc_id < 80")))).reshape(-1, 40)
-    assert np.allclose(model.sum(axis=1), 1, atol=1e-6)
-    assert all(r.kept for r in kneserney.classify(df.where("doc_id < 50"), labels.limit(0)).collect())
-    assert kneserney.classify(df.limit(0), labels).count() == 0
+    marks = spark.createDataFrame(labels * 2, "doc_id long, quality int")
+    got = {r.doc_id: r.kept for r in kneserney.classify(df, marks).collect()}
+    assert len(got) == len(rows) and not got[1902] and got[1903] and got[None]
+    assert not any(got[k] for k, q in labels if not q) and sum(got[k] for k, q in labels if q) >= 174
+    assert all(r.kept for r in kneserney.classify(df.where("doc_id < 50"), marks.limit(0)).collect())
+    assert kneserney.classify(df.limit(0), marks).count() == 0
 
 
 def brute_sentences(text):
