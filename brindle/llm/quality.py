@@ -132,6 +132,8 @@ def _verdicts(ratios: DataFrame, min_group: int) -> DataFrame:
         F.col("lang").alias("_l"), F.col("source").alias("_s"), F.col("_n").alias("_fine_n"), F.col("_q").alias("_fine")
     )
     coarse = fences_of(ratios, ["lang"]).select(F.col("lang").alias("_cl"), F.col("_q").alias("_coarse"))
+    # Written first, so that Spark knows their sizes before it chooses whether the documents must be shuffled to them.
+    fine, coarse = scratch(fine, "fences"), scratch(coarse, "fences")
     joined = ratios.join(
         fine, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left"
     ).join(coarse, F.col("lang").eqNullSafe(F.col("_cl")), "left")
