@@ -280,6 +280,68 @@ def test_urls(spark):
     assert np.allclose(np.exp(p).reshape(-1, 40).sum(axis=1), 1)
 
 
+def brute_verdicts(pages):
+    """page → (ratio, verdict) of the undecided: Witten-Bell models over dictionaries, and every threshold of the histogram tried."""
+    texts, rules = {}, {}
+    for page, url in pages:
+        rest = url.split("://", 1)[1]
+        host = re.split("[/?#]", rest)[0].lower()
+        path = re.split("[?#]", rest[len(host) :])[0]
+        fits = [(r.text, r.verdict) for r in urls.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        texts[page], rules[page] = host + path, max(fits, key=lambda f: len(f[0]), default=(None, None))[1]
+    grams = {}
+    for page, t in texts.items():
+        seq = [0, 0, 0, *(int(symbols.CLASS[b]) for b in t.encode()), 0]
+        grams[page] = [tuple(seq[i : i + 4]) for i in range(len(seq) - 3)]
+    models = {v: Counter(g for p, r in rules.items() if r == v for g in grams[p]) for v in ("allow", "block")}
+
+    def probability(counts, gram):
+        p = 1 / symbols.SIZE
+        for k in range(1, 5):
+            context = gram[len(gram) - k : -1]
+            own = Counter()
+            for g, n in counts.items():
+                if g[4 - k : 3] == context:
+                    own[g[3]] += n
+            if own:
+                p = (own[gram[3]] + len(own) * p) / (sum(own.values()) + len(own))
+        return p
+
+    logs = {g: np.log(probability(models["allow"], g)) - np.log(probability(models["block"], g)) for g in {g for x in grams.values() for g in x}}
+    ratio = {p: float(np.mean([logs[g] for g in x])) for p, x in grams.items()}
+    bins = {p: min(max(int(np.floor((x + 4) * 128)), 0), 1023) for p, x in ratio.items()}
+    share = lambda v, at: np.mean([bins[p] < at for p, r in rules.items() if r == v])
+    good = [share("block", at) + 1 - share("allow", at) for at in range(1025)]
+    best = [at for at, x in enumerate(good) if x >= max(good) - 1e-12]
+    threshold = best[len(best) // 2] / 128 - 4
+    return {p: (ratio[p], r or ("allow" if ratio[p] >= threshold else "block")) for p, r in rules.items()}
+
+
+def test_url_verdicts(spark):
+    rnd = random.Random(14)
+    words_ = ["news", "casino", "garden", "win", "read", "Ünï", "7up"]
+    hosts = ["site.org", "a.b.com", "example.org", "shop.net", "x.io"]
+    pages = [(i, f"http://{rnd.choice(hosts)}/{rnd.choice(['en', 'fr', 'de', 'es'])}/{rnd.choice(words_)}-{rnd.randrange(30)}?q={i}") for i in range(90)]
+    got = {r.page_id: r for r in urls.filter_urls(spark.createDataFrame(pages, "page_id long, url string")).collect()}
+    want = brute_verdicts(pages)
+    assert {"allow", "block"} <= {got[p].verdict for p, _ in pages if got[p].rule is None}
+    assert np.allclose([got[p].ratio for p, _ in pages], [want[p][0] for p, _ in pages], atol=1e-4)
+    assert [got[p].verdict for p, _ in pages] == [want[p][1] for p, _ in pages]
+
+
+def test_packing_loses_no_id(spark):
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    whole = tokenizers.Tokenizer.from_file(path)
+    rnd = random.Random(15)
+    own = [" ".join(rnd.choice(["alpha", "be", "gam ma", "é", "12"]) for _ in range(rnd.choice([0, 3, 70, 400, 3000]))) for _ in range(120)]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(own)), "doc_id long, text string").repartition(3), path).collect()
+    for i, t in enumerate(own):
+        pieces = sorted((r.start, bytes(r.ids)) for r in rows if r.doc_id == i)
+        ids = np.array([*whole.encode(t, add_special_tokens=False).ids, 0], dtype="<u4")
+        assert b"".join(x for _, x in pieces) == ids.tobytes() and {r.doc_tokens for r in rows if r.doc_id == i} == {len(ids)}
+        assert [a for a, _ in pieces] == np.cumsum([0, *(len(x) // 4 for _, x in pieces)])[:-1].tolist()
+
+
 def test_packing(docs, rows):
     path = str(public_tokenizers.path("byte_bpe_50k.json"))
     whole = tokenizers.Tokenizer.from_file(path)
@@ -617,20 +679,23 @@ def test_sharding(docs, rows):
         slots[r.shard].append(r.slot)
         assert r.grown_shard in (r.shard, 8) and r.law == "key"
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    want = Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows)
-    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == want
+    key = lambda k: 42 if k is None else xxhash.xxh64_intdigest(str(k), 42)
+    want = Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode()), plain_jump(key(r[0]), 8), plain_jump(key(r[0]), 9)) for r in rows)
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.grown_shard) for r in got) == want
 
 
-def test_jump_hash():
-    keys = np.random.default_rng(3).integers(0, 2**63, 20_000).astype(np.uint64)
+def plain_jump(key, n):
+    """Jump consistent hashing, one key after the other."""
+    b, j = -1, 0
+    while j < n:
+        b, key = j, (key * 2862933555777941757 + 1) % 2**64
+        j = int((b + 1) * ((1 << 31) / ((key >> 33) + 1)))
+    return b
 
-    def plain(key, n):
-        b, j = -1, 0
-        while j < n:
-            b, key = j, (key * 2862933555777941757 + 1) % 2**64
-            j = int((b + 1) * ((1 << 31) / ((key >> 33) + 1)))
-        return b
 
+def test_jump_hash():
+    keys = np.random.default_rng(3).integers(0, 2**63, 20_000).astype(np.uint64)
+    plain = plain_jump
     assert sharding.jump_hash(keys[:300], 11).tolist() == [plain(int(k), 11) for k in keys[:300]]
     a, b = sharding.jump_hash(keys, 8), sharding.jump_hash(keys, 9)
     assert set(b[a != b].tolist()) == {8} and abs((a != b).mean() - 1 / 9) < 0.02
@@ -658,6 +723,69 @@ def test_toxicity(spark):
     assert {r.predicted for r in none} == {0}
 
 
+def test_toxicity_features():
+    own = toxicity.Lexicon.of({"gronk": 3.0, "du": 2.5}, {"zibb": 4.0, "blargs": 5.0})
+    rnd = random.Random(16)
+    parts = ["you", "Gronk", "zibbed", "zibb", "blargsome", "YOUR", "calm", "ABC", "a!b", "aaaaa", "x y z w", "!!", "?", "du", "7", "É", "ÉÉÉ"]
+    texts = ["", "!", *(" ".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 40))) for _ in range(200))]
+    for text in texts:
+        w = re.findall(r"[^\W_]+", text.lower())
+        weight = [max([own.words.get(x, 0), *(own.starts.get(x[:k], 0) for k in (4, 5, 6) if len(x) > k)]) for x in w]
+        hits = [i for i, x in enumerate(weight) if x]
+        second = [i for i, x in enumerate(w) if x in toxicity.SECOND]
+        n, size, letters = max(1, len(w)), max(1, len(text)), max(1, sum(map(len, w)))
+        want = [
+            len(hits) / n, sum(weight) / n, len(hits), max(weight, default=0), len({w[i] for i in hits}),
+            sum(any(abs(i - j) <= 5 for j in second) for i in hits) / n, len(second) / n, sum("A" <= c <= "Z" for c in text) / letters,
+            sum(len(x) >= 3 and x.isalpha() and x.upper() == x for x in re.findall(r"\w+", text)) / n, sum(c in "!?" for c in text) / size,
+            (size - letters - text.count(" ")) / size,
+        ]
+        got = toxicity.features(text, own)
+        assert np.allclose(got[:11], want) and got[13] == np.log1p(len(w))
+    assert toxicity.features("a b c d e", own)[12] > 0 and toxicity.features("st@rk", own)[11] > 0 and toxicity.features("stark", own)[11] == 0
+
+
+def test_boosted_trees():
+    rnd = np.random.default_rng(17)
+    x = np.round(rnd.normal(size=(300, 4)), 1)
+    y = (x[:, 2] + 0.3 * x[:, 0] > 0.4).astype(float)
+    model = toxicity.boost(x, y, rounds=5)
+
+    def walk(row):
+        total = model.bias
+        for feature, cut, value in model.trees:
+            at = 0
+            while at < 7:
+                at = 2 * at + (2 if row[feature[at]] > cut[at] else 1)
+            total += model.rate * value[at - 7]
+        return total
+
+    assert np.allclose(model.raw(x), [walk(r) for r in x])
+    # The first split is the best of all, by the second-order gain.
+    p = 1 / (1 + np.exp(-model.bias))
+    g, h = p - y, np.full(len(y), p * (1 - p))
+
+    def gain(j, c):
+        left = x[:, j] <= c
+        part = lambda m: g[m].sum() ** 2 / (h[m].sum() + 2.0)
+        return part(left) + part(~left)
+
+    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, 33)[1:-1])) for j in range(4)]
+    best = max(gain(j, c) for j in range(4) for c in edges[j])
+    feature, cut, _ = model.trees[0]
+    assert np.isclose(gain(feature[0], cut[0]), best) and ((model.raw(x) > 0) == (y > 0)).mean() > 0.9
+
+
+def test_isotonic_is_the_best_fit():
+    rnd = np.random.default_rng(18)
+    x, y = rnd.permutation(40).astype(float), (rnd.random(40) < 0.5).astype(float)
+    _, level = toxicity.isotonic(x, y)
+    ordered = y[np.argsort(x)]
+    # The fit at i is the greatest, over starts up to i, of the least mean to an end from i on.
+    want = [max(min(ordered[a : b + 1].mean() for b in range(i, 40)) for a in range(i + 1)) for i in range(40)]
+    assert np.allclose(np.unique(np.round(want, 9)), np.unique(np.round(level, 9)))
+
+
 def test_isotonic_is_monotone():
     x = np.random.default_rng(0).normal(size=500)
     knots, level = toxicity.isotonic(x, (x + np.random.default_rng(1).normal(size=500) > 0).astype(float))
@@ -669,5 +797,6 @@ def test_empty_tables(nothing):
     for out in (
         suffix.remove_repeats(nothing), simhash.near_duplicates(nothing), simhash.keep_one(nothing), packing.pack(nothing, path), quality.judge(nothing),
         sharding.shard_documents(nothing), spans.remove_repeated_spans(nothing),
+        decontam.find_contamination(nothing, nothing.selectExpr("doc_id AS item_id", "text")), toxicity.score_documents(nothing, nothing.selectExpr("doc_id", "0 AS toxic")),
     ):
         assert out.count() == 0
