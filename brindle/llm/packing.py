@@ -16,6 +16,7 @@ packed together, longest first.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 from collections import defaultdict
@@ -165,40 +166,44 @@ class Encoder:
         clash = _differ(chars, lo[hit], own[hit], self.points, self.from_[place[hit]], self.length[place[hit]])
         place[hit[clash]] = -1
         new = np.flatnonzero(place < 0)
-        place[new] = self._store([chars[a : a + n] for a, n in zip(lo[new].tolist(), own[new].tolist(), strict=True)])
+        place[new] = self._store(chars, lo[new], own[new])
         self.known.update(zip(code[new].tolist(), place[new].tolist(), strict=True))
         pieces = place[which]
         # Within a batch each piece must be its representative, too.
-        clash = _differ(chars, starts, length, chars, lo[which], own[which])
-        if clash.any():
-            pieces[clash] = self._store([chars[a:b] for a, b in zip(starts[clash].tolist(), ends[clash].tolist(), strict=True)])
+        shift = np.repeat((lo[which] - starts).astype(np.int32), length)
+        shift += np.arange(len(chars), dtype=np.int32)
+        unequal = chars != chars.take(shift, mode="clip")
+        clash = length != own[which]
+        if unequal.any() or clash.any():
+            clash |= np.logical_or.reduceat(unequal, starts)
+            pieces[clash] = self._store(chars, starts[clash], length[clash])
         size = self.size[pieces]
         run = np.cumsum(size)
         ids = self.ids[np.repeat(self.start[pieces] - (run - size), size) + np.arange(run[-1])]
         return ids, run[pieces == 0]
 
-    def _store(self, pieces: list[np.ndarray]) -> np.ndarray:
+    def _store(self, chars: np.ndarray, lo: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Places of pieces that are encoded now."""
-        ids, place = [], np.zeros(len(pieces), dtype=np.int64)
-        kept = []
-        for j, piece in enumerate(pieces):
-            if piece[0] == STOP:
-                continue
-            if piece[0] > STOP:
-                own = [self.mark_ids[piece[0] - STOP - 1]]
-            else:
-                own = self.encode(piece.tobytes().decode("utf-32-le", "surrogatepass"))
-            place[j] = len(self.size) + len(ids)
-            ids.append(np.array(own, dtype=np.uint32))
-            kept.append(piece)
-        if ids:
-            size, length = (np.array([len(x) for x in xs], dtype=np.int64) for xs in (ids, kept))
-            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.ids = np.concatenate([self.ids, *ids])
-            self.from_ = np.concatenate([self.from_, len(self.points) + np.cumsum(length) - length])
-            self.length = np.concatenate([self.length, length])
-            self.points = np.concatenate([self.points, *kept])
+        place = np.zeros(len(lo), dtype=np.int64)
+        new = np.flatnonzero(chars[lo] != STOP)
+        lo, length = lo[new], length[new]
+        if not len(new):
+            return place
+        first = np.cumsum(length) - length
+        points = chars[np.arange(int(length.sum())) + np.repeat(lo - first, length)]
+        text = np.where(points > STOP, 0x20, points).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        encode = self.encode
+        ids = [encode(text[a:b]) for a, b in zip(first.tolist(), (first + length).tolist(), strict=True)]
+        for j in np.flatnonzero(points[first] > STOP).tolist():
+            ids[j] = [self.mark_ids[int(points[first[j]]) - STOP - 1]]
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        place[new] = len(self.size) + np.arange(len(ids))
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(ids), dtype=np.uint32, count=int(size.sum()))])
+        self.from_ = np.concatenate([self.from_, len(self.points) + first])
+        self.length = np.concatenate([self.length, length])
+        self.points = np.concatenate([self.points, points])
         return place
 
 
