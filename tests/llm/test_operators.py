@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from brindle.llm import decontam, kneserney, packing, quality, sharding, simhash, spans, sql, suffix, symbols, toxicity, urls
+from brindle.llm import decontam, kneserney, packing, quality, sharding, simhash, spans, sql, suffix, toxicity, urls
 
 tokenizers = pytest.importorskip("tokenizers")
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -276,39 +276,49 @@ def test_urls(spark):
         ("", "", None), ("", "", None), ("other.net", "", None), ("notorg", "/x", None), ("org", "", None), ("x.com", "/deep", None)]
     assert (got[None].host, got[None].path) == ("b.net", "/c\nd")
     assert urls.filter_urls(df).count() == len(pages) and urls.filter_urls(df.limit(0)).count() == 0
-    p = urls.log_probabilities(np.bincount(symbols.grams(symbols.encode(b"abcabc", 4), 4), minlength=40**4))
-    assert np.allclose(np.exp(p).reshape(-1, 40).sum(axis=1), 1)
 
 
 def brute_verdicts(pages):
-    """page → (ratio, verdict) of the undecided: Witten-Bell models over dictionaries, and every threshold of the histogram tried."""
-    texts, rules = {}, {}
-    for page, url in pages:
+    """page → (ratio, verdict): Witten-Bell models over dictionaries, and every threshold of the histogram tried.
+
+    A decided URL is scored by the models of the half that it is not in.
+    """
+    texts, rules, halves = {}, {}, {}
+    for page, url, half in pages:
         rest = url.split("://", 1)[1]
-        host = re.split("[/?#]", rest)[0].lower()
+        host = re.split("[/?#]", rest)[0]
         path = re.split("[?#]", rest[len(host) :])[0]
+        texts[page], host = host.lower() + rest[len(host) :], host.lower()
         fits = [(r.text, r.verdict) for r in urls.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
-        texts[page], rules[page] = host + path, max(fits, key=lambda f: len(f[0]), default=(None, None))[1]
+        rules[page], halves[page] = max(fits, key=lambda f: len(f[0]), default=(None, None))[1], half
     grams = {}
     for page, t in texts.items():
-        seq = [0, 0, 0, *(int(symbols.CLASS[b]) for b in t.encode()), 0]
-        grams[page] = [tuple(seq[i : i + 4]) for i in range(len(seq) - 3)]
-    models = {v: Counter(g for p, r in rules.items() if r == v for g in grams[p]) for v in ("allow", "block")}
-
-    def probability(counts, gram):
-        p = 1 / symbols.SIZE
-        for k in range(1, 5):
-            context = gram[len(gram) - k : -1]
-            own = Counter()
-            for g, n in counts.items():
-                if g[4 - k : 3] == context:
-                    own[g[3]] += n
-            if own:
-                p = (own[gram[3]] + len(own) * p) / (sum(own.values()) + len(own))
-        return p
-
-    logs = {g: np.log(probability(models["allow"], g)) - np.log(probability(models["block"], g)) for g in {g for x in grams.values() for g in x}}
-    ratio = {p: float(np.mean([logs[g] for g in x])) for p, x in grams.items()}
+        seq = "^" * 4 + t + "$"  # neither stands in the URLs; both ends are one character to the operator, told apart by their places
+        grams[page] = [seq[i : i + 5].replace("$", "^") for i in range(len(seq) - 4)]
+    size = len({g[-1] for p, r in rules.items() if r for g in grams[p]}) + 1
+
+    def model(verdict, held):
+        counts = defaultdict(Counter)
+        for p, r in rules.items():
+            if r == verdict and halves[p] in held:
+                for g in grams[p]:
+                    for k in range(5):
+                        counts[g[4 - k : 4]][g[4]] += 1
+
+        def probability(gram):
+            p = 1 / size
+            for k in range(5):
+                if own := counts.get(gram[4 - k : 4]):
+                    p = (own[gram[4]] + len(own) * p) / (sum(own.values()) + len(own))
+            return p
+
+        return probability
+
+    models = {held: (model("allow", held), model("block", held)) for held in ((0,), (1,), (0, 1))}
+    ratio = {}
+    for p, x in grams.items():
+        good, bad = models[(0, 1) if rules[p] is None else (1 - halves[p],)]
+        ratio[p] = float(np.mean([np.log(good(g)) - np.log(bad(g)) for g in x]))
     bins = {p: min(max(int(np.floor((x + 4) * 128)), 0), 1023) for p, x in ratio.items()}
     share = lambda v, at: np.mean([bins[p] < at for p, r in rules.items() if r == v])
     good = [share("block", at) + 1 - share("allow", at) for at in range(1025)]
@@ -323,7 +333,9 @@ def test_url_verdicts(spark):
     hosts = ["site.org", "a.b.com", "example.org", "shop.net", "x.io"]
     pages = [(i, f"http://{rnd.choice(hosts)}/{rnd.choice(['en', 'fr', 'de', 'es'])}/{rnd.choice(words_)}-{rnd.randrange(30)}?q={i}") for i in range(90)]
     got = {r.page_id: r for r in urls.filter_urls(spark.createDataFrame(pages, "page_id long, url string")).collect()}
-    want = brute_verdicts(pages)
+    subjects = spark.createDataFrame(pages, "page_id long, url string").selectExpr("page_id", "url", "substring(url, 8) AS s")
+    halves = {r.page_id: r.half for r in subjects.selectExpr("page_id", "pmod(xxhash64(s), 2) AS half").collect()}
+    want = brute_verdicts([(p, url, halves[p]) for p, url in pages])
     assert {"allow", "block"} <= {got[p].verdict for p, _ in pages if got[p].rule is None}
     assert np.allclose([got[p].ratio for p, _ in pages], [want[p][0] for p, _ in pages], atol=1e-4)
     assert [got[p].verdict for p, _ in pages] == [want[p][1] for p, _ in pages]
