@@ -134,6 +134,11 @@ def bit_table(windows: DataFrame, most_bytes: int) -> np.ndarray:
     return table
 
 
+def _plain(df: DataFrame) -> DataFrame:
+    """The same columns by numbers for names: ``mapInArrow`` takes no names with dots."""
+    return df.toDF(*map(str, range(len(df.columns))))
+
+
 def _places(docs: DataFrame, row: str, places: str, table, widths: list[int]) -> DataFrame:
     """``docs`` with n_words, a number ``row`` of its own for each row, and ``places``: hash and place of the shingles that the table holds."""
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(f"{row} long, n_words long, {places} array<struct<h: long, at: int>>").fields])
@@ -164,7 +169,7 @@ def _places(docs: DataFrame, row: str, places: str, table, widths: list[int]) ->
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     names = [ddl_name(c) for c in docs.columns]
-    return docs.select(*names, F.monotonically_increasing_id().alias(row), text_bytes().alias("_bytes")).mapInArrow(work, schema)
+    return _plain(docs.select(*names, F.monotonically_increasing_id().alias(row), text_bytes().alias("_bytes"))).mapInArrow(work, schema)
 
 
 def _prefixes(windows: DataFrame, places: DataFrame) -> DataFrame:
@@ -238,8 +243,8 @@ def find_contamination(
     joined = read.where(some).join(marks, F.col(row) == F.col(key), "left")
     nothing = [F.array().cast(schema[c].dataType).alias(c) for c in ("hit_runs", "items")]
     may = joined.where(F.col(mark).isNotNull()).select(*names, "n_words", mark, text_bytes().alias("_bytes"))
-    free = read.where(~some).unionAll(joined.where(F.col(mark).isNull()).select(*read.columns))
-    return may.mapInArrow(lambda x: finish(verify(x)), schema).unionAll(free.select(*names, "n_words", *nothing))
+    free = read.where(~some).unionAll(joined.where(F.col(mark).isNull()).select(*map(ddl_name, read.columns)))
+    return _plain(may).mapInArrow(lambda x: finish(verify(x)), schema).unionAll(free.select(*names, "n_words", *nothing))
 
 
 def with_digests(found: DataFrame, least: int = 2) -> DataFrame:
@@ -290,4 +295,4 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, least: int = 2) -> Da
     if "n_chars" in docs.columns:
         size = F.when(F.size("hit_runs") > 0, F.length("text")).otherwise(F.col("n_chars"))
         found = found.withColumn("n_chars", size.cast(docs.schema["n_chars"].dataType))
-    return found.select(*docs.columns)
+    return found.select(*map(ddl_name, docs.columns))

@@ -481,6 +481,20 @@ def test_decontamination(spark, docs, rows):
     assert clean[3] == "" and clean[2] == " \n\t " and clean[0] is None and clean[4] == ""
 
 
+def test_decontamination_keeps_columns_of_any_name(spark):
+    passage = "one two three four five six seven eight nine"
+    texts = [passage, f"x {passage}", "one two three four five other words", None]
+    names = ["doc_id", "text", "a.b", "_row", "_ROW2", "_places", "_marks", "_key", "row", "h", "at", "items", "window"]
+    own = spark.createDataFrame([(i, t, *(f"{i}{n}" for n in names[2:])) for i, t in enumerate(texts)], names)
+    bench = spark.createDataFrame([("p", passage), ("p", passage), ("q", "seven eight nine")], "item_id string, text string")
+    for block in (64 << 20, 8):
+        got = {r.doc_id: r for r in decontam.find_contamination(own, bench, block_bytes=block).collect()}
+        assert [got[i]["items"] for i in range(4)] == [["p", "q"], ["p", "q"], [], []]
+        assert [[list(x) for x in got[i].hit_runs] for i in range(4)] == [[[0, 9]], [[1, 10]], [], []]
+        assert all(got[i][n] == f"{i}{n}" for i in range(4) for n in names[2:] if n != "items")
+    assert decontam.clean_documents(own, bench).columns == names
+
+
 def test_decontamination_blocks_over_large_batches(spark):
     items = [(str(i), f"item {i} has these very words of its own") for i in range(3)]
     bench = spark.createDataFrame(items, "item_id string, text string")
